@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bpe, ctph, html_main, packing, token_store, toxicity
+from . import blocks, bpe, ctph, html_main, maxscore, packing, quality, token_store, toxicity
 
 VOCABULARY = 50_257
 
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +36,10 @@ def _tokenizers() -> Callable[[], Callable[[str], list[int]]]:
     return lambda: bpe.tokenizers_encoder(path)
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = blocks.shared_dir(spark, "tokens")
     files = token_store.write(_table(spark, sf_dir, "documents"), uri, _tokenizers(), 2, VOCABULARY)
@@ -41,6 +58,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.learn(docs, _table(spark, sf_dir, "labels")), *quality.document_site())
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(_table(spark, sf_dir, "pages"))
 
@@ -61,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_top_k": OP2_SQL}
