@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bpe, ctph, html_main, maxscore, packing, quality, token_store, toxicity
+from . import blocks, bpe, ctph, html_main, maxscore, near_dup, packing, quality, suffix_dedup, token_store, toxicity
 
 VOCABULARY = 50_257
 
@@ -36,6 +36,10 @@ def _tokenizers() -> Callable[[], Callable[[str], list[int]]]:
     return lambda: bpe.tokenizers_encoder(path)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -78,6 +82,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizers(), 0)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
