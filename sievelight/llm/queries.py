@@ -29,7 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizers() -> Callable[[], Callable[[str], list[int]]]:
+def tokenizers_factory() -> Callable[[], Callable[[str], list[int]]]:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,7 +46,7 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = blocks.shared_dir(spark, "tokens")
-    files = token_store.write(_table(spark, sf_dir, "documents"), uri, _tokenizers(), 2, VOCABULARY)
+    files = token_store.write(_table(spark, sf_dir, "documents"), uri, tokenizers_factory(), 2, VOCABULARY)
     return token_store.read(spark, uri, files)
 
 
@@ -79,7 +79,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizers(), 0)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizers_factory(), 0)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,11 +293,12 @@ def sampled_cuts(rows: DataFrame, n_rows: int, ranges: int) -> tuple[list[bytes]
     return cuts, hot
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """All columns of df with the kept bytes and what was removed: n_bytes, n_removed, n_spans long, kept binary.
 
     Null texts count as empty; a null doc_id is less than all others; rows that share a doc_id don't match each other.  A
     document shorter than the width stays as it is.  Columns n_bytes, n_removed, n_spans, kept of df are replaced.
+    With whole_characters, bytes of a character that a cut leaves incomplete are left out of `kept`.
     """
     spark = df.sparkSession
     blocks.session_limits(spark)
@@ -401,6 +402,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             n_removed.append(removed)
             n_spans.append(spans)
             kept.append(b"".join([*out, doc[end:]]) if out else doc)
+        if whole_characters:
+            kept = [k.decode("utf-8", "ignore").encode() if n else k for k, n in zip(kept, n_removed, strict=True)]
         cols = {c: b.rows.column(alias.get(c, f"c_{c}")) for c in own}
         cols |= {"n_bytes": pa.array([len(d) for d in b.docs], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())}
         return pa.table(cols)
@@ -422,7 +425,10 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with its texts' kept bytes, columns as they are; bytes of a character that a cut leaves incomplete go as well."""
-    out = dedup(df, id_col, text_col)
-    text = F.decode_utf8("kept") if hasattr(F, "decode_utf8") else F.try_validate_utf8(F.col("kept").cast("string"))
-    return out.select(*[F.when(F.col("n_removed") == 0, F.col(f"`{c}`")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    """df with the kept bytes as its texts, its columns as they are; no row goes, a text may become empty.
+
+    What a cut leaves of a character goes as well; a text that loses nothing stays as it is, null too.
+    """
+    out = dedup(df, id_col, text_col, whole_characters=True)
+    text = F.when(F.col("n_removed") == 0, F.col(f"`{text_col}`")).otherwise(F.col("kept").cast("string"))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
