@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.llm import blocks, near_dup, packing, quality, suffix_dedup, toxicity
-from sievelight.llm.queries import tokenizers_factory
+from sievelight.llm.queries import tokenizers_vocabulary
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents' ids in sequences, with the ids."""
-    return packing.pack(docs, tokenizers_factory(), 0, with_ids=True)
+    return packing.pack(docs, tokenizers_vocabulary(), 0, with_ids=True)
 
 
 STAGES = [

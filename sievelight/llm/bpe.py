@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 
 from . import blocks
 
+Encoder = Callable[[str], list[int]]
+
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: A match can depend on so many characters after its end (white space before a word, and the contractions).
@@ -33,18 +37,15 @@ SPREAD_CHARS = 1 << 20
 
 _IRREGULAR = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
+#: ASCII marks at the end of a piece.
+_MARKS = re.compile(r"[!-/:-@\[-`{-~]+\Z")
 
 
-def tokenizers_encoder(path: str) -> Callable[[str], list[int]]:
-    """Encode by the tokenizers library; strings of special tokens are ordinary text."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return lambda text: tok.encode(text, add_special_tokens=False).ids
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable ones stand for themselves, the rest for letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,10 +53,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def tiktoken_encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
-    import tiktoken
+@dataclass(frozen=True)
+class Vocabulary:
+    """A byte-level BPE vocabulary file: a tokenizers JSON file, or ranks for tiktoken with their pre-token pattern."""
+
+    path: str
+    pattern: str = ""
+
+    def encoders(self) -> tuple[Encoder, Encoder]:
+        """Encode any text, and, faster, one pre-token; strings of special tokens are ordinary text."""
+        if self.pattern:
+            import tiktoken
+
+            coder = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=read_ranks(self.path), special_tokens={})
+            return coder.encode_ordinary, coder._encode_single_piece
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = True
+        model, letters = whole.model, _byte_letters()
+        return (lambda text: whole.encode(text, add_special_tokens=False).ids), (lambda text: [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))])
 
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={}).encode_ordinary
+    def cache(self) -> PieceCache:
+        """This process's cache: Python workers serve many tasks."""
+        if self not in _CACHES:
+            _CACHES[self] = PieceCache(*self.encoders())
+        return _CACHES[self]
+
+
+_CACHES: dict[Vocabulary, PieceCache] = {}
 
 
 def pieces(text: str) -> list[str]:
@@ -63,30 +90,65 @@ def pieces(text: str) -> list[str]:
     return _CUT.split(text) if _IRREGULAR.search(text) else text.split(" ")
 
 
-class PieceCache(dict):
-    """Ids of a piece as little-endian unsigned 32-bit integers, by the piece without its leading space."""
+class Recent(dict):
+    """What `make` gives for a key, remembered for the keys of the last one or two `limit`s of new ones."""
 
-    def __init__(self, encode: Callable[[str], list[int]], limit: int = 250_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        self.make, self.limit, self.older = make, limit, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.encode(" " + piece)).tobytes()
-        if len(piece) <= 64:
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[key] = value
+        return value
+
+
+class PieceCache:
+    """Ids of pieces as little-endian unsigned 32-bit integers, by the piece without its leading space.
+
+    The place between a letter or digit and a following mark is a pre-token boundary as well, so a piece's last marks are
+    looked up apart from what stands before them, and so are the lines of a piece.
+    """
+
+    def __init__(self, encode: Encoder, encode_word: Encoder, limit: int = 400_000):
+        self.encode, self.encode_word = encode, encode_word
+        self.marks = Recent(lambda marks: array("I", encode(marks)).tobytes(), 20_000)
+        self.known = Recent(self._piece, limit)
+        self.starts = Recent(self._start, limit // 4)
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return array("I", self.encode_word(" " + piece)).tobytes()
+        # A line end between two non-spaces is a pre-token of its own, and the next line begins without a space.
+        first, *lines = piece.split("\n")
+        if lines and first and all(lines) and len(piece.split()) == len(lines) + 1:
+            return self.known[first] + b"".join(self.marks["\n"] + self.starts[x] for x in lines)
+        last = _MARKS.search(piece)
+        if last and last.start() and piece[last.start() - 1].isalnum():
+            return self.known[piece[: last.start()]] + self.marks[last[0]]
+        return array("I", self.encode(" " + piece)).tobytes()
+
+    def _start(self, piece: str) -> bytes:
+        last = _MARKS.search(piece)
+        if last and last.start() and piece[last.start() - 1].isalnum():
+            return self.starts[piece[: last.start()]] + self.marks[last[0]]
+        return array("I", (self.encode_word if piece.isalpha() else self.encode)(piece)).tobytes()
 
     def text_ids(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = pieces(text)
-        return array("I", self.encode(first)).tobytes() + b"".join(map(self.__getitem__, rest))
+        return self.starts[first] + b"".join(map(self.known.__getitem__, rest))
 
     def chunk_ids(self, text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
         """Where each piece starts, the ids before it, and all ids."""
         parts = pieces(text)
-        ids = [array("I", self.encode(parts[0])).tobytes(), *map(self.__getitem__, parts[1:])]
+        ids = [array("I", self.encode(parts[0])).tobytes(), *map(self.known.__getitem__, parts[1:])]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         sizes[1:] += 1
         counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -139,7 +201,7 @@ def encode_text(cache: PieceCache, text: str | None, chunk: int = CHUNK_CHARS, o
     return stitch(cache, [(a, text[a:b], None) for a, b in chunk_spans(len(text), chunk, overlap)])
 
 
-def encode(df: DataFrame, text_col: str, encoder: Callable[[], Callable[[str], list[int]]], keep: list[str], ids_col: str = "ids", spread_chars: int = SPREAD_CHARS) -> DataFrame:
+def encode(df: DataFrame, text_col: str, vocabulary: Vocabulary, keep: list[str], ids_col: str = "ids", spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """The columns `keep` and the token ids (binary, little-endian unsigned 32-bit) of each whole text.
 
     Null and empty texts give no ids.  Rows may repeat; each is encoded.  Documents above spread_chars are cut into chunk
@@ -151,7 +213,7 @@ def encode(df: DataFrame, text_col: str, encoder: Callable[[], Callable[[str], l
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in spec.fields]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PieceCache(encoder())
+        cache = vocabulary.cache()
         for batch in batches:
             ids = [encode_text(cache, t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], [*keep, ids_col])
@@ -165,14 +227,14 @@ def encode(df: DataFrame, text_col: str, encoder: Callable[[], Callable[[str], l
                     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([a], pa.int64()), pa.array([text[a:b]]), pa.array([row if not k else b""], pa.binary())], ["_key", "_k", "_start", "_chunk", "_row"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PieceCache(encoder())
+        cache = vocabulary.cache()
         for batch in batches:
             coded = [cache.chunk_ids(t) for t in batch.column(3).to_pylist()]
             more = [pa.array([x.astype("<i8").tobytes() if k < 2 else x for x in col], pa.binary()) for k, col in enumerate(zip(*coded, strict=True))] if coded else [pa.array([], pa.binary())] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_at", "_before", "_ids"])
 
     def join(table: pa.Table) -> pa.Table:
-        cache = PieceCache(encoder())
+        cache = vocabulary.cache()
         got = sorted(table.to_pylist(), key=lambda r: r["_k"])
         ids = stitch(cache, [(r["_start"], r["_chunk"], (np.frombuffer(r["_at"], "<i8"), np.frombuffer(r["_before"], "<i8"), r["_ids"])) for r in got])
         return blocks.unpack(got[0]["_row"]).append_column(ids_col, pa.array([ids], pa.binary()))

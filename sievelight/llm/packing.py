@@ -8,7 +8,7 @@ emptied into the gaps of the others (cut where needed), so that a shard has one
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +107,7 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int,
     return [w for w in windows if w]
 
 
-def pack(df: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, vocabulary: bpe.Vocabulary, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     Every document ends with end_id; a null or empty text is that id alone.  Each task packs what it reads, in shards of
@@ -134,7 +134,7 @@ def pack(df: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache = bpe.PieceCache(encoder())
+        cache = vocabulary.cache()
         first = TaskContext.get().partitionId() << 40
         docs, coded, held = [], [], 0
         for batch in batches:

@@ -29,11 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizers_factory() -> Callable[[], Callable[[str], list[int]]]:
+def tokenizers_vocabulary() -> bpe.Vocabulary:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return lambda: bpe.tokenizers_encoder(path)
+    return bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +45,16 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = blocks.shared_dir(spark, "tokens")
-    files = token_store.write(_table(spark, sf_dir, "documents"), uri, tokenizers_factory(), 2, VOCABULARY)
+    files = token_store.write(_table(spark, sf_dir, "documents"), uri, tokenizers_vocabulary(), 2, VOCABULARY)
     return token_store.read(spark, uri, files)
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), "text", lambda: bpe.tiktoken_encoder(path, pattern), ["doc_id"])
-    return bpe.digests(ids, path, ["doc_id"])
+    vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), "text", vocabulary, ["doc_id"])
+    return bpe.digests(ids, vocabulary.path, ["doc_id"])
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +78,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizers_factory(), 0)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizers_vocabulary(), 0)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

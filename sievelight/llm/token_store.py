@@ -32,10 +32,10 @@ DICT_DOCS = 600
 DICT_IDS = 2_000
 
 
-def train_dictionary(df: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], text_col: str = "text", docs: int = DICT_DOCS) -> bytes:
+def train_dictionary(df: DataFrame, vocabulary: bpe.Vocabulary, text_col: str = "text", docs: int = DICT_DOCS) -> bytes:
     """A dictionary from at most `docs` documents' first ids; empty if there is too little to train on."""
     texts = [r[0] for r in df.filter(F.length(text_col) > 0).select(F.substring(text_col, 1, 4 * DICT_IDS)).limit(docs).collect()]
-    cache = bpe.PieceCache(encoder())
+    cache = vocabulary.cache()
     samples = [np.frombuffer(cache.text_ids(t), "<u4").astype("<u2").tobytes()[: 2 * DICT_IDS] for t in texts]
     if sum(map(len, samples)) < 20 * DICT_BYTES // 10 or len(samples) < 20:
         return b""
@@ -86,7 +86,7 @@ def _open(uri: str) -> Callable[[int, int], bytes]:
     return lambda start, size: data[start : start + size]
 
 
-def write(df: DataFrame, uri: str, encoder: Callable[[], Callable[[str], list[int]]], end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int, int]]:
+def write(df: DataFrame, uri: str, vocabulary: bpe.Vocabulary, end_id: int, vocabulary_size: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int, int]]:
     """Write all documents below `uri` in ascending doc_id order; (file, documents, ids, bytes) of each file in that order.
 
     Null ids come first and are stored as the least 64-bit integer; null texts count as empty; rows with one doc_id keep
@@ -96,20 +96,20 @@ def write(df: DataFrame, uri: str, encoder: Callable[[], Callable[[str], list[in
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     _, n_bytes = blocks.extent(rows, "text")
     cuts = blocks.splitters(rows, "doc_id", blocks.bucket_count(n_bytes))
-    dictionary = train_dictionary(rows, encoder)
+    dictionary = train_dictionary(rows, vocabulary)
     key = hashlib.sha256(dictionary).hexdigest()
     fs, path = blocks.filesystem(uri)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/{key}.dict") as f:
         f.write(dictionary)
-    width, end = 2 if vocabulary <= 1 << 16 else 4, np.array([end_id], "<u4").tobytes()
+    width, end = 2 if vocabulary_size <= 1 << 16 else 4, np.array([end_id], "<u4").tobytes()
 
     def store(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         docs = blocks.rejoined(table).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         doc_ids = blocks.ids_of(docs)
         order = np.argsort(doc_ids, kind="stable")
-        cache = bpe.PieceCache(encoder())
+        cache = vocabulary.cache()
         texts = docs.column("text")
         ids = [bpe.encode_text(cache, texts[int(k)].as_py()) + end for k in order]
         data = file_bytes(doc_ids[order], ids, dictionary, width)
