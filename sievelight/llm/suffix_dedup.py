@@ -15,9 +15,10 @@ some bytes before it.
 
 from __future__ import annotations
 
-import hashlib
 import math
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ K = 26
 #: Bytes whose windows are hashed at once, and documents sampled for splitters.
 CHUNK = 1 << 20
 SAMPLE_DOCS = 2_000
+#: Raw bytes of a bucket of documents, and so, about, of anchors that a range compares.
+BUCKET_BYTES = 8 << 20
 SAMPLE_PER_DOC = 48
 
 _B = 0x9E3779B97F4A7C15
@@ -229,28 +232,47 @@ class Bucket:
             several[at] |= np.unpackbits(np.frombuffer(blob, np.uint8), count=len(at)).astype(bool)
         return np.flatnonzero(several[which])
 
-    def segments(self, at: np.ndarray, hot: set[bytes]) -> tuple[list[tuple[bytes, int]], np.ndarray, list[list[int]]]:
-        """Distinct (bytes, bytes before the anchor), the least doc_id of each, and for each anchor the segments it has."""
-        index: dict[tuple[bytes, int], int] = {}
-        least: list[int] = []
-        which: list[list[int]] = []
+    def segments(self, at: np.ndarray, hot: set[bytes]) -> Segments:
+        """What is known of the strings of these anchors; where the anchor's prefix is hot, string by string."""
         a = self.anchors
-        for doc, place, lo, hi in zip(a.doc[at].tolist(), a.at[at].tolist(), a.lo[at].tolist(), a.hi[at].tolist(), strict=True):
-            text, own = self.docs[doc], int(self.ids[doc])
-            if hot and text[place : place + K] in hot:
-                keys = [(text[s : s + WIDTH], place - s) for s in range(lo, hi + 1)]
-            else:
-                keys = [(text[lo : hi + WIDTH], place - lo)]
-            mine = []
-            for key in keys:
-                i = index.setdefault(key, len(least))
-                if i == len(least):
-                    least.append(own)
-                elif own < least[i]:
-                    least[i] = own
-                mine.append(i)
-            which.append(mine)
-        return list(index), np.array(least, np.int64), which
+        doc, place, lo, hi = a.doc[at], a.at[at], a.lo[at], a.hi[at]
+        if hot:
+            single = np.fromiter((self.docs[d][p : p + K] in hot for d, p in zip(doc.tolist(), place.tolist(), strict=True)), bool, len(at))
+            times = np.where(single, hi - lo + 1, 1)
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            single, doc, place, lo, hi = (np.repeat(x, times) for x in (single, doc, place, lo, hi))
+            lo = np.where(single, lo + step, lo)
+            hi = np.where(single, lo, hi)
+        before = place - lo
+        docs, marks = self.docs, [bytes([i]) for i in range(WIDTH)]
+        index: dict[bytes, int] = {}
+        which = np.fromiter((index.setdefault(docs[d][x : y + WIDTH] + marks[n], len(index)) for d, x, y, n in zip(doc.tolist(), lo.tolist(), hi.tolist(), before.tolist(), strict=True)), np.int64, len(doc))
+        # Documents are in ascending order of their ids, so a segment's first place has its least doc_id.
+        first = np.unique(which, return_index=True)[1]
+        return Segments(list(index), before[first], self.ids[doc[first]], doc, lo, hi, which)
+
+
+@dataclass
+class Segments:
+    """Distinct segments (bytes, with the bytes before the anchor as a last one) with their least doc_id, and each place of them."""
+
+    keys: list[bytes]
+    before: np.ndarray
+    least: np.ndarray
+    doc: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    which: np.ndarray
+
+    def routes(self, cuts: list[bytes], hot: dict[bytes, tuple[int, int]]) -> np.ndarray:
+        prefixes = [k[n : n + K] for k, n in zip(self.keys, self.before.tolist(), strict=True)]
+        out = np.searchsorted(np.array(cuts, f"S{K}"), np.array(prefixes, f"S{K}"), side="right") if cuts and prefixes else np.zeros(len(prefixes), np.int64)
+        if hot:
+            for i, prefix in enumerate(prefixes):
+                if prefix in hot:
+                    a, b = hot[prefix]
+                    out[i] = a + zlib.crc32(self.keys[i]) % (b - a + 1)
+        return out
 
 
 def _ranges(h: np.ndarray, bits: int, ranges: int) -> np.ndarray:
@@ -259,16 +281,6 @@ def _ranges(h: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(low)) * np.uint64(ranges) >> np.uint64(bits - low)).astype(np.int64)
 
 
-def _route(prefix: bytes, segment: bytes, cuts: list[bytes], hot: dict[bytes, tuple[int, int]]) -> int:
-    import bisect
-    import zlib
-
-    if prefix in hot:
-        lo, hi = hot[prefix]
-        return lo + zlib.crc32(segment) % (hi - lo + 1)
-    return bisect.bisect_right(cuts, prefix)
-
-
 def sampled_cuts(rows: DataFrame, n_rows: int, ranges: int) -> tuple[list[bytes], dict[bytes, tuple[int, int]]]:
     """Splitters of anchors' leading bytes from a bounded sample of documents; prefixes that fill several, with their ranges."""
     if ranges < 2:
@@ -308,7 +320,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_c
     alias = {id_col: "doc_id", text_col: "__text"}
     rows = df.select(*[F.col(f"`{c}`").alias(alias.get(c, f"c_{c}")) for c in own])
     n_rows, n_bytes = blocks.extent(rows, "__text")
-    buckets = blocks.bucket_count(n_bytes)
+    buckets = blocks.bucket_count(n_bytes, BUCKET_BYTES)
     ranges = buckets
     bits = min(60, max(32, math.ceil(math.log2(n_bytes / 13 + 2)) + 14))
     cuts, hot = sampled_cuts(rows, n_rows, ranges)
@@ -342,25 +354,19 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_c
     def replies(table: pa.Table, kind: int) -> list[tuple[int, bytes]]:
         return [(r["from"], r["bits"]) for r in table.to_pylist() if r["kind"] == kind]
 
-    def routed(b: Bucket, bitmaps: list[tuple[int, bytes]]):
-        at = b.shared(bits, ranges, bitmaps)
-        keys, least, which = b.segments(at, hot_prefixes)
-        route = np.fromiter((_route(s[o : o + K], s, cuts, hot) for s, o in keys), np.int64, len(keys))
-        # Sorted by what follows the anchor, equal bytes lie close together and compress well.
-        order = np.array(sorted(range(len(keys)), key=lambda i: (route[i], keys[i][0][keys[i][1] :], keys[i][0], keys[i][1])), np.int64)
-        return at, keys, least, which, route, order
+    def routed(b: Bucket, said: list[tuple[int, bytes]]) -> tuple[Segments, list[tuple[int, np.ndarray]]]:
+        """The segments, and those of each range in a fixed order."""
+        found = b.segments(b.shared(bits, ranges, said), hot_prefixes)
+        return found, list(blocks.by_bucket(found.routes(cuts, hot)))
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"range": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "block": pa.array([], pa.binary())})
-        if not left.num_rows:
-            return none
-        _, keys, least, _, route, order = routed(Bucket(left), replies(right, 0))
         parts, out = [], []
-        for part, rows_of in blocks.by_bucket(route[order]) if len(order) else ():
-            chosen = order[rows_of]
-            parts.append(part)
-            out.append(blocks.pack(pa.table({"segment": pa.array([keys[i][0] for i in chosen], pa.binary()), "before": pa.array([keys[i][1] for i in chosen], pa.uint8()), "doc": pa.array(least[chosen])})))
-        return pa.table({"range": pa.array(parts, pa.int32()), "bucket": pa.array([left.column("bucket")[0].as_py()] * len(parts), pa.int32()), "block": pa.array(out, pa.binary())})
+        if left.num_rows:
+            found, dealt_to = routed(Bucket(left), replies(right, 0))
+            for part, at in dealt_to:
+                parts.append(part)
+                out.append(blocks.pack(pa.table({"segment": pa.array([found.keys[i][:-1] for i in at.tolist()], pa.binary()), "before": pa.array(found.before[at], pa.uint8()), "doc": pa.array(found.least[at])})))
+        return pa.table({"range": pa.array(parts, pa.int32()), "bucket": pa.array([left.column("bucket")[0].as_py()] * len(parts) if parts else [], pa.int32()), "block": pa.array(out, pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
         part = table.column("range")[0].as_py()
@@ -373,26 +379,23 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_c
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Bucket(left)
-        at, keys, least, which, route, order = routed(b, replies(right, 0))
-        masks = np.zeros(len(keys), np.uint32)
+        found, dealt_to = routed(b, replies(right, 0))
+        masks = np.zeros(len(found.keys), np.uint32)
         said = dict(replies(right, 1))
-        for part, rows_of in blocks.by_bucket(route[order]) if len(order) else ():
-            masks[order[rows_of]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(said[part]), np.uint32)
-        starts: list[list[int]] = [[] for _ in b.docs]
-        a, mask_of, least_of = b.anchors, masks.tolist(), least.tolist()
-        for i, mine in zip(at.tolist(), which, strict=True):
-            doc, lo, hi = int(a.doc[i]), int(a.lo[i]), int(a.hi[i])
-            if len(mine) == hi - lo + 1 and len(keys[mine[0]][0]) == WIDTH:  # string by string
-                starts[doc] += [s for s, j in zip(range(lo, hi + 1), mine, strict=True) if mask_of[j] or least_of[j] < b.ids[doc]]
-            elif least_of[mine[0]] < b.ids[doc]:
-                starts[doc] += range(lo, hi + 1)
-            elif m := mask_of[mine[0]]:
-                starts[doc] += [s for o, s in enumerate(range(lo, hi + 1)) if m >> o & 1]
+        for part, at in dealt_to:
+            masks[at] = np.frombuffer(zstandard.ZstdDecompressor().decompress(said[part]), np.uint32)
+        mask = np.where(found.least[found.which] < b.ids[found.doc], np.uint32(0xFFFFFFFF), masks[found.which])
+        some = np.flatnonzero(mask)
+        times = (found.hi - found.lo + 1)[some]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        hit = (np.repeat(mask[some], times) >> step.astype(np.uint32)) & np.uint32(1) == 1
+        place, owner = (np.repeat(found.lo[some], times) + step)[hit], np.repeat(found.doc[some], times)[hit]
+        edges = np.searchsorted(owner, np.arange(len(b.docs) + 1))
         n_removed, n_spans, kept = [], [], []
-        for doc, found in zip(b.docs, starts, strict=True):
+        for i, doc in enumerate(b.docs):
             removed, spans, out, end = 0, 0, [], 0
-            if found:
-                s = np.array(found)
+            if edges[i] < edges[i + 1]:
+                s = place[edges[i] : edges[i + 1]]
                 first = np.concatenate([[True], s[1:] > s[:-1] + WIDTH])
                 lo = s[first]
                 hi = np.concatenate([s[:-1][first[1:]], s[-1:]]) + WIDTH
