@@ -128,7 +128,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """(band long, node) for each of a node's bands."""
+    """(band long, its place int, node) for each of a node's bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +137,10 @@ def bands(nodes: DataFrame) -> DataFrame:
             for k in range(ROWS):
                 key = _mix(key * _MIX + x[:, :, k])
             node = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), x.shape[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), node], ["band", "node"])
+            place = pa.array(np.tile(np.arange(x.shape[1], dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), place, node], ["band", "place", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "band long, node binary")
+    return nodes.select("node", "signature").mapInArrow(run, "band long, place int, node binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -190,31 +191,55 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one band and two labels whose signatures agree enough, from rows (band, node, label, signature, n)."""
+def _across(mixed: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different labels, from rows (band, place, node, label, signature, text, n).
+
+    Each pair of labels' members that meet in a band is looked at in the first band that they share, and verified exactly if
+    their signatures agree enough, until something in the block has linked their labels.  A large band is cut into blocks, and
+    each two of them meet in a task.  What comes out are only links that join labels, a forest for each block.
+    """
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), count).cast("int")
     rows = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    rows = rows.select("band", "node", "label", "signature", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("band", "place", "node", "label", "signature", "text", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def pairs(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        x = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+    def link(table: pa.Table) -> pa.Table:
+        i, j, place = (table.column(c)[0].as_py() for c in ("i", "j", "place"))
+        x = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, -1, ROWS)
         nodes, own = table.column("node").to_pylist(), table.column("own").to_numpy()
         labels = np.unique(np.array([v.hex() for v in table.column("label").to_pylist()]), return_inverse=True)[1]
+        joined = np.arange(labels.max() + 1)  # the label that each label has come to
+        words = WordHashes()
+        lists = [shingles(t, words) for t in table.column("text").to_pylist()]
+        plain = [frozenset(h.tolist()) if c.max(initial=1) == 1 else None for h, c in lists]
+
+        def alike(k: int, c: int) -> bool:
+            p, q = plain[k], plain[c]
+            if p is None or q is None:
+                return probability_jaccard(lists[k], lists[c]) >= similarity
+            most, least = max(len(p), len(q)), min(len(p), len(q))
+            if least < similarity * most:
+                return False
+            both = len(p & q)
+            return both >= similarity * (most + least - both)
+
         a, b = [], []
-        for k in np.flatnonzero(own == i):
-            if i == j:
-                at = np.arange(k + 1, table.num_rows)
-            else:
-                at = np.flatnonzero(own == j)
-            at = at[labels[at] != labels[k]]
-            at = at[(x[at] == x[k]).mean(1) >= ESTIMATE]
-            a += [min(nodes[k], nodes[c]) for c in at]
-            b += [max(nodes[k], nodes[c]) for c in at]
+        for k in np.flatnonzero(own == i).tolist():
+            at = np.arange(k + 1, table.num_rows) if i == j else np.flatnonzero(own == j)
+            at = at[joined[labels[at]] != joined[labels[k]]]
+            same = x[at] == x[k]
+            first = same.all(2).argmax(1) == place
+            agree = same.mean((1, 2))
+            at, agree = at[first & (agree >= ESTIMATE)], agree[first & (agree >= ESTIMATE)]
+            for c in at[np.argsort(-agree, kind="stable")].tolist():
+                mine, its = joined[labels[k]], joined[labels[c]]
+                if mine != its and alike(k, c):
+                    joined[joined == its] = mine
+                    a.append(nodes[k])
+                    b.append(nodes[c])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return rows.groupBy("band", "i", "j").applyInArrow(pairs, "a binary, b binary").distinct()
+    return rows.groupBy("band", "i", "j").applyInArrow(link, "a binary, b binary")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -246,14 +271,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     links = blocks.settle(_verified(stars, texts, similarity), "verified")
     labels = components(links)
     label = F.coalesce("label", "node")
-    tagged = blocks.settle(shared.join(labels, "node", "left").select("band", "node", "n", label.alias("label")), "tagged")
+    tagged = blocks.settle(shared.join(labels, "node", "left").select("band", "place", "node", "n", label.alias("label")), "tagged")
     split = blocks.settle(tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band"), "split")
-    rest = tagged.join(split, "band").join(nodes.select("node", "signature"), "node")
-    more = blocks.settle(_across(rest).join(stars, ["a", "b"], "left_anti"), "across")
+    rest = tagged.join(split, "band").join(nodes.select("node", "signature"), "node").join(texts, "node")
+    more = blocks.settle(_across(rest, similarity), "across")
     if not more.isEmpty():
-        found = blocks.settle(_verified(more, texts, similarity), "found")
-        if not found.isEmpty():
-            labels = components(links.unionByName(found))
+        labels = components(links.unionByName(more))
     full = blocks.settle(nodes.join(labels, "node", "left").select("node", "doc_id", "n", label.alias("label")), "classes")
     heads = blocks.settle(full.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_class")), "heads")
     placed = blocks.settle(full.join(heads, "label").select("node", "class_id", "n_class"), "placed")
