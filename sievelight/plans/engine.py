@@ -255,7 +255,9 @@ class Knowledge:
         own = self.file_table.read().filter(F.col("source_id") == source_id)
         meta = self.chunk_table.read().filter(F.col("source_id") == source_id).groupBy("file_id").agg(F.first("metadata").alias("metadata"))
         targets = meta.select(F.col("file_id").alias("source_file_id"), F.explode(F.from_json(F.get_json_object("metadata", "$.wikilinks"), "array<string>")).alias("target"))
-        other = self.link_table.read().join(own.select("file_id"), F.col("source_file_id") == F.col("file_id"), "left_anti")
+        files_now = self.file_table.read()
+        elsewhere = files_now.filter(F.col("source_id") != source_id).select("file_id")
+        other = self.link_table.read().join(elsewhere, F.col("source_file_id") == F.col("file_id"), "left_semi").join(files_now.select("file_id"), F.col("target_file_id") == F.col("file_id"), "left_semi")
         self.link_table.overwrite(other.unionByName(links.resolve(targets, own)))
 
     def index(self) -> Index:
