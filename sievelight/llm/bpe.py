@@ -38,6 +38,7 @@ SPREAD_CHARS = 1 << 20
 
 _IRREGULAR = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
 #: ASCII marks at the end of a piece.
 _MARKS = re.compile(r"[!-/:-@\[-`{-~]+\Z")
 
@@ -134,8 +135,8 @@ class PieceCache:
         if piece.isalpha():
             return array("I", self.encode_word(" " + piece)).tobytes()
         # A line end between two non-spaces is a pre-token of its own, and the next line begins without a space.
-        first, *lines = piece.split("\n")
-        if lines and first and all(lines) and len(piece.split()) == len(lines) + 1:
+        if _LINES.fullmatch(piece):
+            first, *lines = piece.split("\n")
             return self.known[first] + b"".join(self.marks["\n"] + self.starts[x] for x in lines)
         last = _MARKS.search(piece)
         if last and last.start() and piece[last.start() - 1].isalnum():
