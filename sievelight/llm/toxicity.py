@@ -27,8 +27,8 @@ SAMPLE_TOXIC = 3_000
 SAMPLE_CLEAN = 4_000
 #: A feature must be so much likelier in toxic documents (log odds ratio), by so many standard errors.
 LEAST_ODDS = 2.3
-LEAST_Z = 3.0
-SURE_Z = 4.5
+LEAST_Z = 4.2
+SURE_Z = 5.5
 LEAST_DOCUMENTS = 3
 WINDOW = 24
 ROUNDS = 80
@@ -63,9 +63,14 @@ def _telling(where: dict[str, set[int]], clean: Counter, n1: int, n0: int) -> di
     documents that none before them explains."""
 
     def worth(f: str) -> tuple[float, float]:
+        """How many standard errors a feature's share among toxic documents is above chance (by likelihood), and its log odds ratio."""
         a, c = len(where[f]), clean.get(f, 0)
         odds = math.log((a + 0.5) * (n0 - c + 0.5) / ((c + 0.5) * (n1 - a + 0.5)))
-        return odds / math.sqrt(1 / (a + 0.5) + 1 / (c + 0.5)), odds
+        expected = (a + c) * n1 / (n0 + n1)
+        if a <= expected:
+            return 0.0, odds
+        gain = a * math.log(a / expected) + (c * math.log(c / (a + c - expected)) if c else 0.0)
+        return math.sqrt(2 * max(gain, 0.0)), odds
 
     found = {f: odds for f in where for z, odds in [worth(f)] if z >= SURE_Z and odds >= LEAST_ODDS}
     queue = [(-z, f) for f in where if (z := worth(f)[0]) >= LEAST_Z]
@@ -196,10 +201,14 @@ def spans(text: str, at: np.ndarray, p: np.ndarray, least: float = 0.5) -> list[
     return [{"start": m.start(), "end": m.end(), "p": wanted[k]} for k, m in enumerate(_TOKEN.finditer(text)) if k in wanted]
 
 
-def train(texts: list[str], toxic: list[int]) -> Field:
-    """A field from labelled documents; texts that mostly repeat others are left out of counts."""
+def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Field:
+    """A field from labelled documents; texts that mostly repeat others are left out of counts.
+
+    `rate` is the share of toxic documents where the sample was drawn from, if it was drawn by label.
+    """
     y = np.array(toxic, int)
     prior = (y.sum() + 0.5) / (len(y) + 1)
+    shift = 0.0 if rate is None else math.log(rate / (1 - rate)) - math.log(prior / (1 - prior))
     flat = Field({}, -8.0, np.zeros((2, 2)), np.array([math.log(prior / (1 - prior)), 0.0, 0.0]))
     if not y.any() or y.all():
         return flat
@@ -246,7 +255,7 @@ def train(texts: list[str], toxic: list[int]) -> Field:
         tokens = text.lower().split()
         _, _, count, odds = marginals(np.fromiter(map(cache.__getitem__, tokens), np.float32, len(tokens)), field)
         rows.append((1.0, np.clip(odds, -8, 8), math.log1p(count)))
-    field.curve = logistic(np.array(rows), y.astype(float), 1.0)
+    field.curve = logistic(np.array(rows), y.astype(float), 1.0) + np.array([shift, 0.0, 0.0])
     return field
 
 
@@ -300,13 +309,15 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """A field from a bounded sample of the labelled documents that aren't held out."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
+    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    rate = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionAll(known.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN)).dropDuplicates(["doc_id"])
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # The sample is bounded by its two parameters, so it may be broadcast and collected.
     got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").limit(4 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()
     got.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return train([r.text or "" for r in got], [r.toxic for r in got])
+    return train([r.text or "" for r in got], [r.toxic for r in got], rate)
 
 
 def score(df: DataFrame, field: Field, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
