@@ -6,7 +6,8 @@ keep the number of shuffled rows low, compress across documents and carry any co
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -127,5 +128,27 @@ def ids_of(table: pa.Table, column: str = "doc_id") -> np.ndarray:
     return table.column(column).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
-def local_path(uri: str) -> str:
-    return os.path.normpath(filesystem(uri)[1])
+def release() -> None:
+    """Give freed memory back: Python workers stay for other tasks, and what they hold counts for their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A grouped function that releases what it leaves behind; the number of arguments is kept, as Spark counts them."""
+    if f.__code__.co_argcount == 1:
+
+        def one(table: pa.Table) -> pa.Table:
+            out = f(table)
+            release()
+            return out
+
+        return one
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        release()
+        return out
+
+    return two

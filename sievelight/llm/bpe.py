@@ -125,7 +125,7 @@ class PieceCache:
     looked up apart from what stands before them, and so are the lines of a piece.
     """
 
-    def __init__(self, encode: Encoder, encode_word: Encoder, limit: int = 400_000):
+    def __init__(self, encode: Encoder, encode_word: Encoder, limit: int = 300_000):
         self.encode, self.encode_word = encode, encode_word
         self.marks = Recent(lambda marks: array("I", encode(marks)).tobytes(), 20_000)
         self.known = Recent(self._piece, limit)
@@ -256,7 +256,7 @@ def encode(df: DataFrame, text_col: str, vocabulary: Vocabulary, keep: list[str]
     chunks = rows.filter(longer).mapInArrow(cut, "_key string, _k int, _start long, _chunk string, _row binary")
     chunks = chunks.withColumn("_key", F.concat_ws("/", "_key", F.row_number().over(_by_chunk()).cast("string")))
     many = chunks.repartition("_key", "_k").mapInArrow(scan, "_key string, _k int, _start long, _chunk string, _row binary, _at binary, _before binary, _ids binary")
-    return few.unionByName(many.groupBy("_key").applyInArrow(join, out))
+    return few.unionByName(many.groupBy("_key").applyInArrow(blocks.releasing(join), out))
 
 
 def _by_chunk():

@@ -167,7 +167,7 @@ def compare_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     dealt = blocks.deal(rows, assign)
     at = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
-    return dealt.withColumn("range", at).groupBy("range").applyInArrow(score, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.withColumn("range", at).groupBy("range").applyInArrow(blocks.releasing(score), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _firsts(rows: DataFrame, cuts: np.ndarray) -> dict[int, int]:

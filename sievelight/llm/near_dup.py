@@ -43,7 +43,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return h
@@ -167,7 +167,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             a = pivot.column("pivot")[0].as_py()
         return pa.table({"a": pa.array([a] * len(out) if out else [], pa.binary()), "b": pa.array(out, pa.binary())})
 
-    return left.groupBy("a", "part").cogroup(right.groupBy("pivot", "share")).applyInArrow(check, "a binary, b binary")
+    return left.groupBy("a", "part").cogroup(right.groupBy("pivot", "share")).applyInArrow(blocks.releasing(check), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def _across(mixed: DataFrame, similarity: float) -> DataFrame:
                     b.append(nodes[c])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return rows.groupBy("band", "i", "j").applyInArrow(link, "a binary, b binary")
+    return rows.groupBy("band", "i", "j").applyInArrow(blocks.releasing(link), "a binary, b binary")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -32,7 +32,7 @@ WIDTH = 50
 #: Bytes that an anchor's hash covers.
 K = 26
 #: Bytes whose windows are hashed at once, and documents sampled for splitters.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SAMPLE_DOCS = 2_000
 #: Raw bytes of a bucket of documents, and so, about, of anchors that a range compares.
 BUCKET_BYTES = 8 << 20
@@ -412,13 +412,13 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_c
         return pa.table(cols)
 
     dealt = blocks.deal(rows, assign)
-    asked = dealt.groupBy("bucket").applyInArrow(ask, "range int, bucket int, block binary")
-    bitmaps = asked.groupBy("range").applyInArrow(answer, "to int, from int, kind int, bits binary")
-    sent = dealt.groupBy("bucket").cogroup(bitmaps.groupBy("to")).applyInArrow(send, "range int, bucket int, block binary")
-    masks = sent.groupBy("range").applyInArrow(compare, "to int, from int, kind int, bits binary")
+    asked = dealt.groupBy("bucket").applyInArrow(blocks.releasing(ask), "range int, bucket int, block binary")
+    bitmaps = asked.groupBy("range").applyInArrow(blocks.releasing(answer), "to int, from int, kind int, bits binary")
+    sent = dealt.groupBy("bucket").cogroup(bitmaps.groupBy("to")).applyInArrow(blocks.releasing(send), "range int, bucket int, block binary")
+    masks = sent.groupBy("range").applyInArrow(blocks.releasing(compare), "to int, from int, kind int, bits binary")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in own], "n_bytes long, n_removed long, n_spans long, kept binary"])
-    return dealt.groupBy("bucket").cogroup(bitmaps.unionByName(masks).groupBy("to")).applyInArrow(finish, schema)
+    return dealt.groupBy("bucket").cogroup(bitmaps.unionByName(masks).groupBy("to")).applyInArrow(blocks.releasing(finish), schema)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

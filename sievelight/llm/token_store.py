@@ -124,7 +124,7 @@ def write(df: DataFrame, uri: str, vocabulary: bpe.Vocabulary, end_id: int, voca
         return pa.table({"file": [name], "docs": [len(ids)], "ids": [sum(map(len, ids)) // 4], "bytes": [len(data)]})
 
     dealt = blocks.deal(rows, lambda t: blocks.by_bucket(np.searchsorted(cuts, blocks.ids_of(t), side="right")))
-    files = dealt.groupBy("bucket").applyInArrow(store, "file string, docs long, ids long, bytes long").collect()
+    files = dealt.groupBy("bucket").applyInArrow(blocks.releasing(store), "file string, docs long, ids long, bytes long").collect()
     return sorted((r.file, r.docs, r.ids, r.bytes) for r in files)
 
 

@@ -113,7 +113,7 @@ class Field:
 class Emissions(dict):
     """Emission by token, remembered."""
 
-    def __init__(self, field: Field, limit: int = 400_000):
+    def __init__(self, field: Field, limit: int = 200_000):
         self.field, self.limit = field, limit
 
     def __missing__(self, token: str) -> float:
