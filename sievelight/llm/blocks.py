@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -67,7 +68,10 @@ def unpack(block: bytes) -> pa.Table:
 
 
 def bucket_count(n_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
-    return max(1, -(-int(n_bytes or 0) // bucket_bytes))
+    """Buckets for so many bytes.  From some hundreds of GB on they grow with the root of the input (80 MB at 100 TB), so that
+    neither their number nor their size gets out of hand."""
+    n = int(n_bytes or 0)
+    return max(1, -(-n // max(bucket_bytes, 8 * math.isqrt(n))))
 
 
 def extent(df: DataFrame, text_col: str) -> tuple[int, int]:
@@ -80,7 +84,7 @@ def splitters(df: DataFrame, column: str, n: int) -> np.ndarray:
     """At most n - 1 increasing values that cut `column` into n parts of about as many rows each (nulls go first)."""
     if n < 2:
         return np.array([], dtype=np.int64)
-    cuts = df.agg(F.percentile_approx(F.col(column).cast("long"), [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0]
+    cuts = df.agg(F.percentile_approx(F.col(column).cast("long"), [i / n for i in range(1, n)], min(max(10_000, 20 * n), 1_000_000))).first()[0]
     return np.unique(np.array(cuts or [], dtype=np.int64))
 
 

@@ -148,5 +148,7 @@ def pack(df: DataFrame, vocabulary: bpe.Vocabulary, end_id: int, window: int = W
                     docs, coded, held = [], [], 0
         if docs:
             yield emit(docs, coded, first)[0]
+        docs, coded = [], []
+        blocks.release()
 
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
