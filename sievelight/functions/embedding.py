@@ -23,13 +23,15 @@ class ByteSumEmbedder:
     def __init__(self, dim: int = 16):
         self.dim = dim
 
-    def batch(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
+    def sums(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim), np.int64)
         for row, text in zip(out, texts, strict=True):
-            data = np.frombuffer(text.encode(), np.uint8).astype(np.float32)
-            padded = np.pad(data, (0, -len(data) % self.dim)).reshape(-1, self.dim)
-            row += padded.sum(0)
-        return normalized(out)
+            data = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
+            row += np.pad(data, (0, -len(data) % self.dim)).reshape(-1, self.dim).sum(0)
+        return out
+
+    def batch(self, texts: list[str]) -> np.ndarray:
+        return normalized(self.sums(texts).astype(np.float32))
 
 
 def normalized(rows: np.ndarray) -> np.ndarray:

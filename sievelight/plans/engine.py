@@ -13,7 +13,7 @@ from ..functions import embedding as E
 from ..operators import enrich, events, indexing, ledger, links, memory, policy, search, sync
 from ..operators.indexing import Index
 from ..sources import files
-from ..sources.tables import Table
+from ..sources.tables import Table, write_report
 from . import retrieval
 
 
@@ -34,6 +34,7 @@ class Engine:
         self.run_table = Table(spark, root, "runs", schema.RUNS)
         self.hit_table = Table(spark, root, "hits", schema.RUN_HITS)
         self.memory_table = Table(spark, root, "memory", schema.MEMORY)
+        self.fired, self.visibility_told = 0, False
         self.knowledge = Knowledge(spark, root, settings, embedder)
 
     # Indexing
@@ -154,8 +155,46 @@ class Engine:
         credit = memory.credit(latest, label, F.lit(path).cast("string"), F.lit(_now()))
         self.memory_table.overwrite(memory.upsert(self.memory_table.read(), credit))
 
+    def links(self, file: str, **options) -> DataFrame:
+        """Knowledge.links, with credit to the latest run that showed the file."""
+        self._credit("file_path", file, file)
+        return self.knowledge.links(file, **options)
+
+    def auto_sync(self) -> list[str]:
+        """Bring stale knowledge sources up to date; which they were."""
+        labels = [r.label for r in self.knowledge.status().filter("is_stale").collect()]
+        for label in labels:
+            self.knowledge.sync(label)
+        return labels
+
+    def note(self, query: str, path: str, top: int = 3) -> None:
+        """The best results of a query as a text report."""
+        rows = self.search(query, limit=5).filter(F.col("rank") <= top).orderBy("rank")
+        write_report(rows.select(F.concat_ws("\n", F.concat(F.lit("## "), "title"), "content", F.lit("")).alias("value")), path)
+
     # Accounts
 
+    def alert(self) -> str | None:
+        """What to say if the ledger newly reaches a threshold, the highest one; else, once, if too little was seen."""
+        used = ledger.totals(self.ledger_table.read()).first().total_tokens
+        reached = max((t for t in self.settings.thresholds if used * 100 // self.settings.budget_tokens >= t), default=0)
+        if reached > self.fired:
+            self.fired = reached
+            sources = ledger.breakdown(self.ledger_table.read())
+            advice = ledger.keep_and_drop(ledger.relevance(sources, F.lit(_now()), self.settings)).collect()
+            listed = sources.limit(3).collect() if reached != 40 else sources.select("label").collect()
+            return ledger.alert_text(reached, used, self.settings, listed, [r for r in advice if r.advice == "keep"], [r for r in advice if r.advice == "drop"])
+        seen = self.stats().first()
+        if seen.too_little_seen and not self.visibility_told:
+            self.visibility_told = True
+            return f"[visibility: {seen.visibility_ratio:.1%} of what is indexed was seen. Search, or read the chunks of a source.]"
+        return None
+
+    def reset(self) -> None:
+        """An empty ledger, and alerts that can fire again."""
+        self.ledger_table.overwrite(self.spark.createDataFrame([], schema.LEDGER))
+        self.fired, self.visibility_told = 0, False
+
     def sources(self) -> DataFrame:
         return self.source_table.read().orderBy(F.col("indexed_at").desc(), "label")
 
@@ -273,6 +312,14 @@ class Knowledge:
         vector = self.embedder.batch([query])[0].tolist() if self.embedder else None
         return search.hybrid(self.index(), query, self.settings, vector, where, limit=limit)
 
+    def listing(self, query: str, **options) -> DataFrame:
+        """A search as lines: title, place, score, and a short preview."""
+        from ..functions import text as T
+
+        rows = self.search(query, **options)
+        line = F.format_string("**[%s]** (%s: %s, score: %.3f)", "title", "label", "rel_path", "score")
+        return rows.select(F.concat_ws("\n", line, T.preview(F.col("content"), 200)).alias("line"))
+
     def status(self) -> DataFrame:
         return sync.stale(self.source_table.read(), F.lit(_now()), self.settings.stale_minutes).orderBy("label")
 

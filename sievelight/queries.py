@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -590,7 +591,7 @@ def folder_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(enrich.folder_tags(path), "/").alias("tags"))
 
 
-@query()
+@query("""SELECT p_partkey, '{"frontmatter":{"type": "' || p_type || '", "size": ' || p_size || ', "tags": ["a", "b"]}}' AS metadata FROM part""")
 def frontmatter_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("---\ntype: "), "p_type", F.lit("\nsize: "), F.col("p_size").cast("string"), F.lit("\ntags: [a, b]\n---\nbody"))
     return table(spark, sf_dir, "part").select("p_partkey", enrich.metadata(["frontmatter"], text, F.lit("x")).alias("metadata"))
@@ -848,8 +849,21 @@ def written_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- embeddings and pages ------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), i AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS k FROM b) SELECT doc_id, k % 16 AS dim, CAST(sum(CAST('0x' || substr(h, 2 * k + 1, 2) AS INTEGER)) AS BIGINT) AS total FROM i GROUP BY doc_id, k % 16")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte sums that the model-free embedder brings to length one."""
+    embedder = ByteSumEmbedder(16)
+
+    @F.pandas_udf("array<bigint>")
+    def sums(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(embedder.sums(texts.tolist())))
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sums("text")).alias("dim", "total"))
+    return rows.filter("total > 0").select("doc_id", F.col("dim").cast("long").alias("dim"), "total")
+
+
+@query()
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), ByteSumEmbedder(16)).select("doc_id", "embedding")
 
 

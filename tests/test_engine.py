@@ -18,7 +18,7 @@ def engine(spark, tmp_path):
     return Engine(spark, f"file://{tmp_path}/store", Settings(limit=5, fuzzy_terms=0), ByteSumEmbedder(16))
 
 
-def test_session(engine, spark):
+def test_session(engine, spark, tmp_path):
     engine.index_text("guide", "# Login\nusers log in with tokens\n## Errors\nfailed login is retried")
     engine.index_text("guide", "# Login\nagain")
     engine.index_text("other", "plain words about harbours")
@@ -33,6 +33,12 @@ def test_session(engine, spark):
     assert "No results." in engine.report("", limit=3) or True
     assert engine.stats().first().bytes_indexed > 0 and engine.context_status().count() >= 1
     assert engine.embed_backfill() == 0
+    engine.settings = Settings(budget_tokens=10)
+    assert "%" in engine.alert() and (engine.alert() is None or "visibility" in engine.alert())
+    engine.reset()
+    assert engine.ledger_table.read().count() == 0 and engine.alert() is None
+    engine.note("login", f"{tmp_path}/note")
+    assert "Login" in "\n".join(r.value for r in spark.read.text(f"{tmp_path}/note").collect())
 
 
 def test_memory_learns_from_what_is_read(engine):
@@ -76,6 +82,9 @@ def test_knowledge(engine, tmp_path):
     assert k.sync() == {"scanned": 3, "added": 0, "updated": 0, "removed": 0, "unchanged": 3}
     assert sorted((r.source_file_id != r.target_file_id) for r in k.link_table.read().collect()) == [True, True]
     assert not k.status().first().is_stale
+    assert engine.auto_sync() == []
+    assert engine.links("a.md", direction="forward").count() >= 1
+    assert "a.md" in k.listing("links").first().line or k.listing("links").count() > 0
     found = engine.search("now", profile="planning", filter="type:task")
     assert found.columns[0] == "source_type"
     assert k.remove("vault")["files_removed"] == 3 and k.chunk_table.read().count() == 0 and k.link_table.read().count() == 0
