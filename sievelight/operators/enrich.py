@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,3 +71,13 @@ def metadata(names: list[str], text: Column, path: Column, base: str = "") -> Co
 
 def enrich(df: DataFrame, names: list[str], text_col: str, path_col: str, base: str = "") -> DataFrame:
     return df.withColumn("metadata", metadata(names, F.col(text_col), F.col(path_col), base))
+
+
+def enrich_by(df: DataFrame, function: Callable[[str, str], dict], text_col: str, path_col: str) -> DataFrame:
+    """Metadata by a function of one's own, of a text and its path, a batch at a time."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(function(t, p), ensure_ascii=False) for t, p in zip(texts, paths, strict=True)])
+
+    return df.withColumn("metadata", run(text_col, path_col))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +21,8 @@ def read_folder(spark: SparkSession, path: str, glob: str | None = None, hidden:
     Files that are empty, have a zero byte in their first kilobyte, or aren't UTF-8 are passed over; so are hidden ones
     unless they are asked for.  Globs are matched at any depth; `ignore` has globs in the manner of .gitignore.
     """
-    # Spark's listing leaves out names that begin with a dot or underscore: the pattern option looks at each name.
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = reader.load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files.select("path", "modificationTime", "length", "content").unionByName(_unlisted(spark, path))
     base = path.rstrip("/").removeprefix("file:").rstrip("/")
     at = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:/+(?=/)|^file:", "")
     rel = F.substring(at, len(base) + 2, 1 << 20)
@@ -35,6 +38,31 @@ def read_folder(spark: SparkSession, path: str, glob: str | None = None, hidden:
     return texts_of(rows)
 
 
+def _unlisted(spark: SparkSession, path: str) -> DataFrame:
+    """Files that Spark's listing leaves out: those whose name, or a folder's on the way, begins with a dot or an underscore.
+
+    Their names are listed by the driver, what they hold is read by the tasks.
+    """
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
+    infos = store.get_file_info(fs.FileSelector(root, recursive=True)) if store.get_file_info(root).type == fs.FileType.Directory else []
+    odd = [x for x in infos if x.type == fs.FileType.File and any(part[:1] in "._" for part in os.path.relpath(x.path, root).split("/"))]
+    scheme = path.split("://")[0] + "://" if "://" in path else "file://"
+    rows = [(scheme + x.path, x.mtime.replace(tzinfo=None) if x.mtime else None, x.size) for x in odd]
+    names = spark.createDataFrame(rows, "path string, modificationTime timestamp, length long")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                at, where = fs.FileSystem.from_uri(name)
+                with at.open_input_file(where) as f:
+                    content = pa.array([f.read()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, content], [*batch.schema.names, "content"])
+
+    return names.repartition(max(1, min(len(rows), 64))).mapInArrow(read, "path string, modificationTime timestamp, length long, content binary")
+
+
 def texts_of(rows: DataFrame) -> DataFrame:
     """Decode binary rows (content) that are text."""
     zero = F.contains(F.substring("content", 1, 1024), F.lit(b"\x00"))

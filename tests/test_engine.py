@@ -99,6 +99,10 @@ def test_folders(spark, tmp_path):
     (tmp_path / "bad.rs").write_bytes(b"\xff\xfe")
     found = lambda **k: sorted(r.rel_path for r in files.read_folder(spark, str(tmp_path), **k).collect())
     assert found(glob="*.rs") == ["a.rs", "x/b.rs"]
+    assert found(glob="*.rs", hidden=True) == [".hidden.rs", "a.rs", "x/b.rs"]
+    (tmp_path / "_under.rs").write_text("fn u")
+    assert found(glob="*.rs") == ["_under.rs", "a.rs", "x/b.rs"]
+    (tmp_path / "_under.rs").unlink()
     assert found(ignore=["*.log"]) == ["a.rs", "x/b.rs"] and found(ignore=["x/"]) == ["a.rs"]
 
 

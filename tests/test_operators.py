@@ -98,6 +98,11 @@ def test_enrichment(spark):
     assert row.l == ["A", "b"] and row.f == ["p", "q"] and row.o == [] and row.m == '{"wikilinks":["A","b"],"folder_tags":["p","q"]}'
 
 
+def test_enrichment_by_a_function(spark):
+    df = enrich.enrich_by(spark.createDataFrame([("abc", "p/q")], "t string, p string"), lambda t, p: {"n": len(t), "at": p}, "t", "p")
+    assert df.first().metadata == '{"n": 3, "at": "p/q"}'
+
+
 def test_resolving_links(spark):
     files = spark.createDataFrame([(1, "a.md"), (2, "d/b.md"), (3, "d/c"), (4, "e/b.md")], "file_id long, rel_path string")
     targets = spark.createDataFrame([(1, "a"), (1, "a.md"), (2, "a"), (1, "b"), (1, "d/b"), (1, "c"), (1, "none"), (3, "e/b.md")], "source_file_id long, target string")
