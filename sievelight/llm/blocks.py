@@ -6,9 +6,11 @@ keep the number of shuffled rows low, compress across documents and carry any co
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -36,7 +38,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="sievelight-")
+        folder = tempfile.mkdtemp(prefix="sievelight-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
