@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import blocks, toxicity
 
 #: The labelled sample's bound, and bins for each measure.
-SAMPLE = 8_000
+SAMPLE = 5_000
 BINS = 10
 #: Site tables of up to so many rows are broadcast; larger ones are joined by shuffles, salted.
 BROADCAST_SITES = 20_000
@@ -110,7 +110,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The sample is bounded by its parameter, so it may be broadcast and collected.
     got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "good").limit(4 * SAMPLE).collect()
     got.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return train([r.text or "" for r in got], [r.good for r in got])
+    model = train([r.text or "" for r in got], [r.good for r in got])
+    del got
+    blocks.release()
+    return model
 
 
 def evidence(df: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

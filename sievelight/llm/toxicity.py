@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import blocks
 
 #: Bounds of the labelled sample: documents of each label.
-SAMPLE_TOXIC = 3_000
-SAMPLE_CLEAN = 4_000
+SAMPLE_TOXIC = 2_000
+SAMPLE_CLEAN = 3_000
 #: A feature must be so much likelier in toxic documents (log odds ratio), by so many standard errors.
 LEAST_ODDS = 2.3
 LEAST_Z = 4.2
@@ -213,17 +213,15 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Fiel
     if not y.any() or y.all():
         return flat
     own = _distinct(texts)
-    clean: Counter = Counter()
     where: dict[str, list[int]] = {}
-    for i, (text, label, ok) in enumerate(zip(texts, y, own, strict=True)):
-        if ok:
-            its = {f for w in set(_WORD.findall(text.lower())) for f in word_features(w)}
-            if label:
-                for f in its:
-                    where.setdefault(f, []).append(i)
-            else:
-                clean.update(its)
-    strength = _telling({f: set(at) for f, at in where.items() if len(at) >= LEAST_DOCUMENTS}, clean, int((own & (y == 1)).sum()), int((own & (y == 0)).sum()))
+    for i in np.flatnonzero(own & (y == 1)).tolist():
+        for f in {f for w in set(_WORD.findall(texts[i].lower())) for f in word_features(w)}:
+            where.setdefault(f, []).append(i)
+    where = {f: at for f, at in where.items() if len(at) >= LEAST_DOCUMENTS}
+    clean: Counter = Counter()  # of features that toxic documents have
+    for i in np.flatnonzero(own & (y == 0)).tolist():
+        clean.update({f for w in set(_WORD.findall(texts[i].lower())) for f in word_features(w) if f in where})
+    strength = _telling({f: set(at) for f, at in where.items()}, clean, int((own & (y == 1)).sum()), int((own & (y == 0)).sum()))
     if not strength:
         return flat
     # Labelled tokens, in windows around those of toxic documents and from clean ones.
@@ -317,7 +315,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The sample is bounded by its two parameters, so it may be broadcast and collected.
     got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").limit(4 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()
     got.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return train([r.text or "" for r in got], [r.toxic for r in got], rate)
+    field = train([r.text or "" for r in got], [r.toxic for r in got], rate)
+    del got
+    blocks.release()
+    return field
 
 
 def score(df: DataFrame, field: Field, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
