@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -23,6 +24,8 @@ class Index:
     knowledge: bool = False
     stem: bool = False
     postings: DataFrame | None = None
+    #: One row (n, avgdl) that belongs to the postings, if it was saved with them.
+    stats: DataFrame | None = None
 
     @property
     def fuse_key(self) -> list[str]:
@@ -48,6 +51,42 @@ class Index:
         return Index(self.chunks, self.knowledge, self.stem, self.build_postings())
 
 
+    def save(self, path: str, buckets: int = 256) -> None:
+        """Write chunks, postings and statistics; postings lie in a folder for each bucket of terms, sorted by term.
+
+        A query then reads the folders of its terms, and in them the row groups whose range holds a term.
+        """
+        self.chunks.write.parquet(f"{path}/chunks")
+        rows = self.build_postings().withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+        # A bucket goes to one task unless it is large: Spark splits rebalanced partitions by size.
+        rows.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term").write.partitionBy("term_bucket").parquet(f"{path}/postings")
+        lengths = self.chunks.select(F.size(self.words()).alias("dl"))
+        lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(self.knowledge).alias("knowledge"), F.lit(self.stem).alias("stem")).write.parquet(f"{path}/stats")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        stats = spark.read.parquet(f"{path}/stats")
+        kind = stats.first()
+        return cls(spark.read.parquet(f"{path}/chunks"), kind.knowledge, kind.stem, spark.read.parquet(f"{path}/postings"), stats)
+
+    def postings_of(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms: of saved ones, only from their folders."""
+        found = self.postings.filter(F.col("term").isin(*terms))
+        if self.stats is not None and "term_bucket" in self.postings.columns:
+            n = self.stats.first().buckets
+            found = found.filter(F.col("term_bucket").isin(*{zlib.crc32(t.encode()) % n for t in terms}))
+        return found
+
+    def corpus_stats(self) -> DataFrame:
+        if self.stats is not None:
+            return self.stats.select("n", "avgdl")
+        return self.chunks.select(F.size(self.words()).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
+
+
 def chunk_documents(docs: DataFrame, id_col: str, label: Column, text_col: str = "text", content_type: str | None = None) -> DataFrame:
     """Chunks of documents; a given content type replaces what the chunk's own lines say."""
     rows = docs.select(F.col(id_col).alias("source_id"), label.alias("label"), F.col(text_col).alias("text"))

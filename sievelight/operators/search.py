@@ -65,9 +65,8 @@ def bm25(index: Index, query: str | list[str], limit: int, where: Column | None
 
 
 def _bm25_postings(index: Index, times: dict[str, int], limit: int, where: Column | None) -> DataFrame:
-    lengths = index.chunks.select("chunk_id", F.size(index.words()).alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    found = index.postings.filter(F.col("term").isin(*times))
+    stats = index.corpus_stats()
+    found = index.postings_of(list(times))
     dfs = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.create_map(*[F.lit(x) for kv in times.items() for x in kv])[F.col("term")]
     # As many rows as the query has terms, and one row.

@@ -40,6 +40,16 @@ def test_postings_and_scan_agree(index):
     assert a == [(r.chunk_id, round(r.score, 9)) for r in search.bm25(index.with_postings(), "nothing", 10).collect()]
 
 
+def test_a_saved_index_reads_only_its_terms_folders(index, spark, tmp_path):
+    index.save(f"{tmp_path}/index", 8)
+    saved = Index.load(spark, f"{tmp_path}/index")
+    for query in ("login tokens", "nothing", "login nothing login"):
+        found = search.bm25(saved, query, 10)
+        assert [(r.chunk_id, round(r.score, 9)) for r in found.collect()] == [(r.chunk_id, round(r.score, 9)) for r in search.bm25(index, query, 10).collect()]
+    plan = search.bm25(saved, "tokens", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(term_bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,tokens)" in plan, plan
+
+
 def test_content_type_is_a_word_of_session_chunks(index):
     assert len(ids(search.bm25(index, "prose", 10))) == 5
     assert ids(search.bm25(Index(index.chunks, knowledge=True), "prose", 10)) == []
