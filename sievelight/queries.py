@@ -172,10 +172,10 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector(index, probe, 15).select("chunk_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH d AS ({VECTOR} AND v.vec_id % 3 = 0) {VECTOR_TOP}")
+@query(f"WITH d AS ({VECTOR} AND v.label = 1) {VECTOR_TOP}")
 def vector_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, probe = vectors(spark, sf_dir)
-    among = index.chunks.filter("chunk_id % 3 = 0")
+    among = index.chunks.filter("label = 1")
     return search.vector(index, probe, 15, candidates=among).select("chunk_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -377,10 +377,11 @@ def preview_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 1500).alias("preview"))
 
 
-@query(f"WITH {CORPUS}, r AS (SELECT *, row_number() OVER (ORDER BY chunk_id) AS rank FROM chunks WHERE chunk_id < 20), a AS (SELECT chunk_id, rank, {ASCII.replace('text', 'content')} AS t FROM r) SELECT chunk_id, CASE WHEN length(t) <= CASE WHEN rank <= 3 THEN 2000 ELSE 800 END THEN t WHEN rank <= 3 THEN ({head_sql(2000)}) || chr(10) || chr(10) || '... [truncated, ' || length(t) || ' bytes total]' ELSE ({head_sql(800)}) || chr(10) || chr(10) || '... [truncated, ' || length(t) || ' bytes total]' END AS snippet, length(t) > CASE WHEN rank <= 3 THEN 2000 ELSE 800 END AS cut FROM a")
+@query(f"WITH {CORPUS}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY chunk_id) AS rank FROM chunks), a AS (SELECT chunk_id, rank, {ASCII.replace('text', 'content')} AS t FROM r) SELECT chunk_id, CASE WHEN length(t) <= CASE WHEN rank <= 3 THEN 2000 ELSE 800 END THEN t WHEN rank <= 3 THEN ({head_sql(2000)}) || chr(10) || chr(10) || '... [truncated, ' || length(t) || ' bytes total]' ELSE ({head_sql(800)}) || chr(10) || chr(10) || '... [truncated, ' || length(t) || ' bytes total]' END AS snippet, length(t) > CASE WHEN rank <= 3 THEN 2000 ELSE 800 END AS cut FROM a")
 def snippet_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snippets of a short result list, larger ones for its first three."""
-    rows = plain(spark, sf_dir).filter("doc_id < 20").withColumnRenamed("text", "content").withColumn("rank", F.row_number().over(Window.orderBy("doc_id")))
+    """Snippets of result lists, one for each source, larger ones for a list's first three."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("content"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     return retrieval.snippets(rows, PROFILES["default"]).select(F.col("doc_id").alias("chunk_id"), "snippet", "cut")
 
 
@@ -560,12 +561,14 @@ def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.link_counts(edges, files, chunks, 9, "both", 2).select("rel_path", "direction", "chunk_count", "hop")
 
 
-RANKED = "(SELECT CAST(n_nationkey AS BIGINT) AS chunk_id, CAST(n_nationkey AS BIGINT) AS file_id, 1.0 / (61 + n_nationkey) AS score FROM nation WHERE n_nationkey < 6)"
+RANKED = "(SELECT CAST(n_nationkey AS BIGINT) AS chunk_id, CAST(n_nationkey AS BIGINT) AS file_id, 1.0 / (61 + n_nationkey) AS score FROM nation ORDER BY score DESC LIMIT 6)"
 
 
 def nation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").filter("n_nationkey < 6")
-    return n.select(F.col("n_nationkey").cast("long").alias("chunk_id"), F.col("n_nationkey").cast("long").alias("file_id"), F.col("n_name").alias("title"), (1.0 / (61 + F.col("n_nationkey"))).alias("score"))
+    """The six best nations of a ranking by key."""
+    n = table(spark, sf_dir, "nation")
+    rows = n.select(F.col("n_nationkey").cast("long").alias("chunk_id"), F.col("n_nationkey").cast("long").alias("file_id"), F.col("n_name").alias("title"), (1.0 / (61 + F.col("n_nationkey"))).alias("score"))
+    return rows.orderBy(F.col("score").desc()).limit(6)
 
 
 @query(f"WITH {RESOLVED}, r AS {RANKED}, e AS (SELECT source_file_id AS a, target_file_id AS b FROM links UNION ALL SELECT target_file_id, source_file_id FROM links), nb AS (SELECT DISTINCT b FROM e WHERE a < 3) SELECT r.file_id, round(score + CASE WHEN nb.b IS NULL THEN 0 ELSE 0.0015 END, 8) AS score, nb.b IS NOT NULL AS graph_neighbor FROM r LEFT JOIN nb ON nb.b = r.file_id")
@@ -704,10 +707,11 @@ def alert_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.crossings(ledger_rows(spark, sf_dir), Settings(budget_tokens=10_000), "user_id").select("user_id", "chunk_id", "used", "threshold")
 
 
-@query("WITH a AS (SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes_indexed FROM documents), b AS (SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes_returned FROM documents WHERE doc_id % 40 = 0) SELECT bytes_indexed, bytes_returned, (bytes_indexed - bytes_returned) // 4 AS tokens_saved, round((bytes_indexed - bytes_returned) / bytes_indexed, 6) AS savings_ratio, round(bytes_returned / bytes_indexed, 6) AS visibility_ratio, bytes_indexed > 10000 AND bytes_returned / bytes_indexed < 0.05 AS too_little_seen FROM a, b")
+@query("WITH a AS (SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes_indexed FROM documents), b AS (SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes_returned FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)) SELECT bytes_indexed, bytes_returned, (bytes_indexed - bytes_returned) // 4 AS tokens_saved, round((bytes_indexed - bytes_returned) / bytes_indexed, 6) AS savings_ratio, round(bytes_returned / bytes_indexed, 6) AS visibility_ratio, bytes_indexed > 10000 AND bytes_returned / bytes_indexed < 0.05 AS too_little_seen FROM a, b")
 def visibility_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"))
-    out = ledger.visibility(rows, rows.filter("doc_id % 40 = 0"))
+    shown = rows.join(table(spark, sf_dir, "labels").filter("quality = 0"), "doc_id", "left_semi")
+    out = ledger.visibility(rows, shown)
     return out.withColumn("savings_ratio", F.round("savings_ratio", 6)).withColumn("visibility_ratio", F.round("visibility_ratio", 6))
 
 
@@ -742,13 +746,13 @@ def event_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EVENTS}, r AS (SELECT event_id, category, priority, created_at FROM ev WHERE user_id < 60 ORDER BY event_id % 7, event_id LIMIT 100), c AS (SELECT category, count(*) AS n, arg_max(created_at, (priority, created_at)) AS latest, max(priority) AS priority FROM r GROUP BY category),
+    f"""WITH {EVENTS}, r AS (SELECT event_id, category, 1 AS priority, created_at FROM ev ORDER BY created_at DESC, event_id DESC LIMIT 100), c AS (SELECT category, count(*) AS n, arg_max(created_at, (priority, created_at)) AS latest, max(priority) AS priority FROM r GROUP BY category),
 s AS (SELECT *, '### ' || category || chr(10) || '- ' || n || ' events (latest: ' || strftime(latest, '%Y-%m-%d %H:%M:%S') || ')' || chr(10) || chr(10) AS section FROM c),
 z AS (SELECT *, row_number() OVER (ORDER BY priority DESC, category) AS place, sum(strlen(section)) OVER (ORDER BY priority DESC, category ROWS UNBOUNDED PRECEDING) + 19 AS size FROM s)
 SELECT category, n, section, CAST(place AS INTEGER) AS place, CAST(size AS BIGINT) AS size, size <= 150 AS fits FROM z"""
 )
 def event_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_rows(spark, sf_dir).filter("user_id < 60").orderBy(F.col("event_id") % 7, "event_id").limit(100)
+    rows = event_rows(spark, sf_dir).withColumn("priority", F.lit(1))
     return events.snapshot(rows, Settings(snapshot_bytes=150)).select("category", "n", "section", "place", F.col("size").cast("long").alias("size"), "fits")
 
 
