@@ -9,6 +9,7 @@ some bytes before it.
    each: whether other documents have it too.  Only such anchors can matter.
 2. Their suffixes, with the bytes before them, are range-partitioned by leading bytes with sampled splitters.  Within a bucket
    equal ones are sent once.  A prefix that fills several splitters is hot: its strings are sent one by one and spread.
+   Ranges are cut at whole prefixes, and of a hot one equal strings go to one range, so no equal strings lie across a boundary.
 3. Each range sorts its suffixes by multikey quicksort on eight bytes at a time, and what lies before them likewise; longest common prefixes of
    neighbours give classes of equal strings, and each string's least doc_id.  A bit for each string comes back.
 """
