@@ -101,22 +101,26 @@ def pieces(text: str) -> list[str]:
 
 
 class Recent(dict):
-    """What `make` gives for a key, remembered for the keys of the last one or two `limit`s of new ones."""
+    """What `make` gives for a key, remembered; `older` has what an earlier one remembered."""
 
-    def __init__(self, make: Callable[[str], bytes], limit: int):
-        self.make, self.limit, self.older = make, limit, {}
+    def __init__(self, make: Callable[[str], bytes], older: dict | None = None):
+        self.make, self.older = make, older or {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= 64:
-            if len(self) >= self.limit:
-                self.older = dict(self)
-                self.clear()
             self[key] = value
         return value
 
+    def turned(self, limit: int) -> Recent:
+        """This one until it has `limit` keys, then a new one that still can look into it."""
+        if len(self) < limit:
+            return self
+        self.older = {}
+        return Recent(self.make, self)
+
 
 class PieceCache:
     """Ids of pieces as little-endian unsigned 32-bit integers, by the piece without its leading space.
@@ -125,11 +129,15 @@ class PieceCache:
     looked up apart from what stands before them, and so are the lines of a piece.
     """
 
-    def __init__(self, encode: Encoder, encode_word: Encoder, limit: int = 300_000):
-        self.encode, self.encode_word = encode, encode_word
-        self.marks = Recent(lambda marks: array("I", encode(marks)).tobytes(), 20_000)
-        self.known = Recent(self._piece, limit)
-        self.starts = Recent(self._start, limit // 4)
+    def __init__(self, encode: Encoder, encode_word: Encoder, limit: int = 400_000):
+        self.encode, self.encode_word, self.limit = encode, encode_word, limit
+        self.marks = Recent(lambda marks: array("I", encode(marks)).tobytes())
+        self.known = Recent(self._piece)
+        self.starts = Recent(self._start)
+
+    def _turn(self) -> None:
+        """Between texts: what hasn't been used for long goes."""
+        self.known, self.starts, self.marks = self.known.turned(self.limit), self.starts.turned(self.limit // 8), self.marks.turned(20_000)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():
@@ -152,11 +160,13 @@ class PieceCache:
     def text_ids(self, text: str) -> bytes:
         if not text:
             return b""
+        self._turn()
         first, *rest = pieces(text)
         return self.starts[first] + b"".join(map(self.known.__getitem__, rest))
 
     def chunk_ids(self, text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
         """Where each piece starts, the ids before it, and all ids."""
+        self._turn()
         parts = pieces(text)
         ids = [array("I", self.encode(parts[0])).tobytes(), *map(self.known.__getitem__, parts[1:])]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
