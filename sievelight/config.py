@@ -10,6 +10,8 @@ class Settings:
     """Defaults of the engine; every operator takes what it needs as arguments."""
 
     limit: int = 15
+    #: Whether the engine's indexes compare words by their Porter stems.
+    stem: bool = True
     keyword_weight: float = 1.0
     vector_weight: float = 1.0
     rrf_k: int = 60

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The algorithm's suffix tables.
@@ -89,3 +89,19 @@ def stems(terms: DataFrame, column: str = "term") -> DataFrame:
 
     distinct = terms.select(F.col(column).alias("term")).distinct()
     return distinct.select("term", run("term").alias("stem"))
+
+
+def stems_among(words: Column, wanted: list[str]) -> Column:
+    """Which of some stems an array of words has, once for each word that has it.
+
+    A stem keeps its word's first letter, so only words that begin like one of the stems go to Python, where each distinct word of a
+    batch is stemmed once.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        known = {w: s for w in set().union(*rows) if (s := stem(w)) in want}
+        return rows.map(lambda ws: [known[w] for w in ws if w in known])
+
+    want = frozenset(wanted)
+    return run(F.filter(words, lambda w: F.substring(w, 1, 1).isin(*sorted({s[0] for s in want}))))

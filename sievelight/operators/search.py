@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions import porter
 from ..functions import text as T
 from .indexing import Index
 
@@ -33,13 +34,11 @@ def _best(scored: DataFrame, limit: int) -> DataFrame:
 def bm25(index: Index, query: str | list[str], limit: int, where: Column | None = None) -> DataFrame:
     """chunk_id, score, rank of chunks that have all the query's words; statistics are those of the whole corpus.
 
-    With postings only the query's terms are read; without, one scan counts the words of each chunk, and nothing is shuffled but
-    a row of statistics.
+    With postings only the query's terms are read; without, one scan counts the words of each chunk, or their stems, and nothing is
+    shuffled but a row of statistics.
     """
     terms = T.query_tokens(query) if isinstance(query, str) else query
     if index.stem:
-        from ..functions import porter
-
         terms = [porter.stem(t) for t in terms]
     empty = index.chunks.limit(0).select("chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     if not terms:
@@ -50,6 +49,8 @@ def bm25(index: Index, query: str | list[str], limit: int, where: Column | None
         return _bm25_postings(index, times, limit, where)
     counted = index.chunks.withColumn("_words", index.words())
     counted = counted.withColumn("_dl", F.size("_words"))
+    if index.stem:
+        counted = counted.withColumn("_words", porter.stems_among(F.col("_words"), names))
     for i, t in enumerate(names):
         counted = counted.withColumn(f"_tf{i}", T.count_of(F.col("_words"), F.lit(t)))
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"_df{i}") for i in range(len(names))])
@@ -97,8 +98,6 @@ def vocabulary(index: Index, limit: int) -> DataFrame:
     """The first terms of the content, in alphabetical order."""
     words = index.chunks.select(F.explode(T.tokens(F.col("content"))).alias("term"))
     if index.stem:
-        from ..functions import porter
-
         words = porter.stems(words).select(F.col("stem").alias("term"))
     return words.distinct().orderBy("term").limit(limit)
 

@@ -92,7 +92,7 @@ class Engine:
     # Search
 
     def index(self) -> Index:
-        return Index(self.chunk_table.read())
+        return Index(self.chunk_table.read(), stem=self.settings.stem)
 
     def _vector(self, query: str) -> list[float] | None:
         return self.embedder.batch([query])[0].tolist() if self.embedder else None
@@ -302,7 +302,7 @@ class Knowledge:
     def index(self) -> Index:
         rows = self.chunk_table.read().join(self.file_table.read().select("file_id", "rel_path"), "file_id")
         rows = rows.join(self.source_table.read().select("source_id", "label"), "source_id")
-        return Index(rows.withColumn("content_type", F.lit("prose")), knowledge=True)
+        return Index(rows.withColumn("content_type", F.lit("prose")), knowledge=True, stem=self.settings.stem)
 
     def search(self, query: str, filter: str | None = None, source: str | None = None, limit: int = 10) -> DataFrame:
         from ..operators import filters

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievelight.config import Settings
 from sievelight.functions.embedding import ByteSumEmbedder
+from sievelight.operators import search
 from sievelight.plans.engine import Engine
 from sievelight.sources import files
 from sievelight.streaming import events as streaming
@@ -50,6 +51,21 @@ def test_memory_learns_from_what_is_read(engine):
     assert engine.run_table.read().count() == 1
 
 
+def test_words_are_compared_by_their_stems(engine, spark, tmp_path):
+    engine.index_text("a", "the pump is running and heating\nrunning on")
+    engine.index_text("b", "a harbour")
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "n.md").write_text("# N\nrunning water")
+    engine.knowledge.add(str(tmp_path / "v"), "v", "*.md")
+    assert {r.source_type for r in engine.search("runs").filter("bm25 > 0").collect()} == {"session", "knowledge"}
+    assert [r.rel_path for r in engine.knowledge.search("runs").filter("bm25 > 0").collect()] == ["n.md"]
+    scan = engine.index()
+    rows = [[(r.chunk_id, round(r.score, 9)) for r in search.bm25(i, "runs heated", 5).collect()] for i in (scan, scan.with_postings())]
+    assert rows[0] == rows[1] and len(rows[0]) == 1
+    engine.settings = Settings(stem=False)
+    assert search.bm25(engine.index(), "runs", 5).count() == 0
+
+
 def test_batches_and_pages(engine, spark):
     engine.index_batch(spark.createDataFrame([("cmd", "x" * 200_000)], "label string, text string"))
     assert engine.chunk_table.read().agg(F.sum(F.octet_length("content"))).first()[0] < 110_000
