@@ -3,7 +3,7 @@
 Texts are cut at places where any pre-tokeniser scan is back in step whatever came before: before a space that
 follows a non-space.  No match of the pre-token pattern contains a non-space followed by white space, so such a place
 always is a pre-token boundary, and what lies between two of them encodes on its own.  Encoded pieces are
-remembered, since words repeat.
+remembered, since words repeat.  A text that holds the string of an added token (`<|endoftext|>`) is encoded as a whole.
 
 Long texts are cut into overlapping chunks that are scanned in parallel; two neighbours are stitched at the first
 boundary that both saw in their overlap, away from the left one's cut end.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -63,7 +64,7 @@ class Vocabulary:
     pattern: str = ""
 
     def encoders(self) -> tuple[Encoder, Encoder]:
-        """Encode any text, and, faster, one pre-token; strings of special tokens are ordinary text."""
+        """Encode any text as the library does by default, and, faster, one pre-token; ranks have no special tokens."""
         if self.pattern:
             import tiktoken
 
@@ -73,7 +74,6 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(self.path)
-        whole.encode_special_tokens = True
         model, letters = whole.model, _byte_letters()
         space = letters[ord(" ")]
 
@@ -83,12 +83,19 @@ class Vocabulary:
 
         return (lambda text: whole.encode(text, add_special_tokens=False).ids), word
 
+    def added(self) -> tuple[str, ...]:
+        """The strings of added tokens: a text that holds one isn't cut, as the library finds them before all else."""
+        if self.pattern:
+            return ()
+        with open(self.path, encoding="utf-8") as f:
+            return tuple(t["content"] for t in json.load(f).get("added_tokens") or [])
+
     def cache(self) -> PieceCache:
         """This process's cache: Python workers serve many tasks."""
         if self not in _CACHES:
             # The caches hold strings and bytes only: looking for cycles among them every few hundred tokens costs a fifth.
             gc.set_threshold(200_000, 20, 100)
-            _CACHES[self] = PieceCache(*self.encoders())
+            _CACHES[self] = PieceCache(*self.encoders(), self.added())
         return _CACHES[self]
 
 
@@ -129,8 +136,8 @@ class PieceCache:
     looked up apart from what stands before them, and so are the lines of a piece.
     """
 
-    def __init__(self, encode: Encoder, encode_word: Encoder, limit: int = 400_000):
-        self.encode, self.encode_word, self.limit = encode, encode_word, limit
+    def __init__(self, encode: Encoder, encode_word: Encoder, added: tuple[str, ...] = (), limit: int = 400_000):
+        self.encode, self.encode_word, self.added, self.limit = encode, encode_word, added, limit
         self.marks = Recent(lambda marks: array("I", encode(marks)).tobytes())
         self.known = Recent(self._piece)
         self.starts = Recent(self._start)
@@ -157,9 +164,14 @@ class PieceCache:
             return self.starts[piece[: last.start()]] + self.marks[last[0]]
         return array("I", (self.encode_word if piece.isalpha() else self.encode)(piece)).tobytes()
 
+    def holds_added(self, text: str) -> bool:
+        return any(a in text for a in self.added)
+
     def text_ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.holds_added(text):
+            return array("I", self.encode(text)).tobytes()
         self._turn()
         first, *rest = pieces(text)
         return self.starts[first] + b"".join(map(self.known.__getitem__, rest))
@@ -216,7 +228,7 @@ def stitch(cache: PieceCache, chunks: list[tuple[int, str, tuple[np.ndarray, np.
 
 
 def encode_text(cache: PieceCache, text: str | None, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> bytes:
-    if not text or len(text) <= chunk + overlap:
+    if not text or len(text) <= chunk + overlap or cache.holds_added(text):
         return cache.text_ids(text or "")
     return stitch(cache, [(a, text[a:b], None) for a, b in chunk_spans(len(text), chunk, overlap)])
 
@@ -225,7 +237,7 @@ def encode(df: DataFrame, text_col: str, vocabulary: Vocabulary, keep: list[str]
     """The columns `keep` and the token ids (binary, little-endian unsigned 32-bit) of each whole text.
 
     Null and empty texts give no ids.  Rows may repeat; each is encoded.  Documents above spread_chars are cut into chunk
-    rows, dealt to all tasks, and stitched in a group of their own.
+    rows, dealt to all tasks, and stitched in a group of their own, unless they hold an added token's string.
     """
     blocks.session_limits(df.sparkSession)
     spec = df.select(*keep).schema
@@ -261,6 +273,8 @@ def encode(df: DataFrame, text_col: str, vocabulary: Vocabulary, keep: list[str]
 
     out = ", ".join([*fields, f"`{ids_col}` binary"])
     longer = F.length("_text") > spread_chars
+    for token in vocabulary.added():
+        longer = longer & ~F.contains("_text", F.lit(token))
     few = rows.filter(~F.coalesce(longer, F.lit(False))).mapInArrow(short, out)
     # A repeated long row would share its key: it is told apart by a number within its partition.
     chunks = rows.filter(longer).mapInArrow(cut, "_key string, _k int, _start long, _chunk string, _row binary")

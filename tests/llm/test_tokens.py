@@ -37,6 +37,20 @@ def test_random_texts_encode_as_a_whole():
                 assert np.frombuffer(bpe.encode_text(one, text, chunk, overlap), "<u4").tolist() == want, repr(text)
 
 
+def test_strings_of_special_tokens_encode_as_the_library_does(frame):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON.path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y " * 400, "<|endoftext| >", "word " * 20_000 + "<|endoftext|>" + " z" * 9_000]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(bpe.encode_text(JSON.cache(), t), "<u4").tolist() for t in texts] == want
+    rows = bpe.encode(frame(list(enumerate(texts))), "text", JSON, ["doc_id"], spread_chars=1000).collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in sorted(rows, key=lambda r: r.doc_id)] == want
+    packed = packing.pack(frame([(0, texts[0])]), JSON, 0, with_ids=True).collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in packed] == [[*want[0], 0]]
+
+
 def test_a_run_longer_than_any_overlap():
     text = "x" * 5000 + " y " + "1" * 3000
     one = RANKS.cache()
