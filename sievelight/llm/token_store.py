@@ -32,11 +32,20 @@ DICT_DOCS = 600
 DICT_IDS = 2_000
 
 
-def train_dictionary(df: DataFrame, vocabulary: bpe.Vocabulary, text_col: str = "text", docs: int = DICT_DOCS) -> bytes:
-    """A dictionary from at most `docs` documents' first ids; empty if there is too little to train on."""
-    texts = [r[0] for r in df.filter(F.length(text_col) > 0).select(F.substring(text_col, 1, 4 * DICT_IDS)).limit(docs).collect()]
+def train_dictionary(df: DataFrame, vocabulary: bpe.Vocabulary, id_col: str = "doc_id", text_col: str = "text", docs: int = DICT_DOCS) -> bytes:
+    """A dictionary from at most DICT_IDS ids, anywhere in the text, of `docs` documents by a hash of their ids; empty if there is too
+    little to train on."""
+    size = 4 * DICT_IDS
+    # Where in the text is another hash's matter than which documents.
+    start = (1 + F.pmod(F.xxhash64(id_col, F.lit("start")), F.greatest(F.length(text_col) - size, F.lit(0)) + 1)).cast("int")
+    rows = df.filter(F.length(text_col) > 0).select(F.xxhash64(id_col).alias("place"), F.col(id_col).alias("id"), F.substring(F.col(text_col), start, F.lit(size)).alias("cut"))
+    texts = [r.cut for r in rows.orderBy("place", "id", "cut").limit(docs).collect()]
     cache = vocabulary.cache()
-    samples = [np.frombuffer(cache.text_ids(t), "<u4").astype("<u2").tobytes()[: 2 * DICT_IDS] for t in texts]
+    samples = []
+    for text in texts:
+        ids = np.frombuffer(cache.text_ids(text), "<u4").astype("<u2")
+        at = zlib.crc32(text.encode()) % max(1, len(ids) - DICT_IDS + 1)
+        samples.append(ids[at : at + DICT_IDS].tobytes())
     if sum(map(len, samples)) < 20 * DICT_BYTES // 10 or len(samples) < 20:
         return b""
     try:

@@ -143,6 +143,19 @@ def test_a_shared_dictionary_is_trained_and_used(spark, frame, tmp_path):
     assert token_store.read(spark, uri, files).count() == 60
 
 
+def test_the_dictionary_is_trained_on_any_documents_and_any_part_of_them(frame, monkeypatch):
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"{'early' if i < 100 else 'late'}{w}{rng.randint(0, 900)}" for w in ("start",) * 1500 + ("end",) * 1500)) for i in range(200)]
+    seen = []
+    monkeypatch.setattr(token_store.zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or token_store.zstandard.ZstdCompressionDict(b"d"))
+    token_store.train_dictionary(frame(docs, 4), JSON, docs=60)
+    decode = bpe.decoder(RANKS.path)
+    texts = [decode(np.frombuffer(s, "<u2").astype("<u4").tobytes()) for s in seen]
+    assert len(texts) == 60 and all(len(s) <= 2 * token_store.DICT_IDS for s in seen)
+    for a, b in ((b"early", b"late"), (b"start", b"end")):
+        assert sum(a in t for t in texts) > 10 and sum(b in t for t in texts) > 10
+
+
 def test_empty_tables(spark, frame, tmp_path):
     empty = frame([])
     assert bpe.encode(empty, "text", RANKS, ["doc_id"]).count() == 0
