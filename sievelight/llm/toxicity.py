@@ -201,6 +201,16 @@ def spans(text: str, at: np.ndarray, p: np.ndarray, least: float = 0.5) -> list[
     return [{"start": m.start(), "end": m.end(), "p": wanted[k]} for k, m in enumerate(_TOKEN.finditer(text)) if k in wanted]
 
 
+def window_starts(centres: list[int], n: int) -> list[int]:
+    """Starts of windows that cover half a window on both sides of every centre among n tokens, none twice."""
+    starts, end = [], 0
+    for i in centres:
+        while end < min(n, i + WINDOW // 2):
+            starts.append(max(end, i - WINDOW // 2))
+            end = starts[-1] + WINDOW
+    return starts
+
+
 def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Field:
     """A field from labelled documents; texts that mostly repeat others are left out of counts.
 
@@ -232,12 +242,11 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Fiel
     for text, label, ok in zip(texts, y, own, strict=True):
         tokens = text.lower().split()
         marks = [[index[f] for w in _WORD.findall(t) for f in word_features(w) if f in index][:7] for t in tokens]
-        centres = [i for i, m in enumerate(marks) if m]
-        starts = [max(0, i - WINDOW // 2) for i in centres[:8]] if centres else []
+        starts = window_starts([i for i, m in enumerate(marks) if m], len(tokens))
         if len(tokens) > 0:
             starts.append(int(rng.integers(0, max(1, len(tokens) - WINDOW + 1))))
         for s in starts if ok or label == 0 else []:
-            x, t = np.full((WINDOW, 7), none), np.zeros(WINDOW, int)
+            x, t = np.full((WINDOW, 7), none, np.int32), np.zeros(WINDOW, np.int8)
             for k, m in enumerate(marks[s : s + WINDOW]):
                 x[k, : len(m)] = m
                 t[k] = int(bool(m) and label == 1)

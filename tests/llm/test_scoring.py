@@ -168,6 +168,24 @@ def test_held_out_toxicity(field):
     assert ((scores >= 0.5) == np.array(labels)).mean() > 0.98
 
 
+def test_windows_hold_every_marked_token(monkeypatch):
+    rng = random.Random(1)
+    for n in (1, 5, 24, 500):
+        for centres in ([], [0], [n - 1], sorted(rng.sample(range(n), n // 2)), list(range(n))):
+            starts = toxicity.window_starts(centres, n)
+            held = [k for s in starts for k in range(s, s + toxicity.WINDOW) if k < n]
+            assert len(held) == len(set(held))
+            assert {k for i in centres for k in range(max(0, i - 12), min(n, i + 12))} <= set(held)
+    seen = []
+    fit = toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda x, y, none: seen.append(int(y.sum())) or fit(x, y, none))
+    texts, labels = labelled()
+    many = " ".join(f"zorgle {' '.join(words(rng, 60))}" for _ in range(40))
+    for extra in ([], [many]):
+        toxicity.train([*texts, *extra], [*labels, *[1] * len(extra)])
+    assert seen[1] - seen[0] >= 40
+
+
 def test_marginals_by_all_paths(field):
     rng = np.random.default_rng(11)
     for _ in range(30):
