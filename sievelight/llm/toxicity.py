@@ -314,8 +314,9 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """A field from a bounded sample of the labelled documents that aren't held out."""
+    """A field from a bounded sample of the labelled documents that are in docs and aren't held out; so is their share of toxic ones."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
+    known = known.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     rate = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -244,6 +245,17 @@ def test_labels_without_a_class_or_without_rows(spark, frame):
     assert quality.classify(frame(ODD), quality.learn(frame(ODD), labels), *quality.document_site()).count() == len(ODD)
 
 
+def test_only_labels_of_documents_at_hand_count(spark, frame, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 20)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 30)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, rate: seen.append((sorted(toxic), rate)))
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0 if i < 200 else i % 10 > 0)) for i in range(2000)], "doc_id long, quality int, toxic int")
+    toxicity.learn(frame([(i, f"text {i}") for i in range(200)]), labels)
+    kept = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [([0] * 30 + [1] * 20, (sum(i % 2 == 0 for i in kept) + 0.5) / (len(kept) + 1))]
+
+
 def test_held_out_rows_are_not_learnt_from(spark):
     import zlib
 
