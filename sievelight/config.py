@@ -23,7 +23,8 @@ class Settings:
     max_output_bytes: int = 102_400
     head_ratio: float = 0.6
     inline_tokens: int = 20_000
-    fuzzy_terms: int = 500
+    #: Corrections look at so many terms, the first in order; None: at all.
+    fuzzy_terms: int | None = 500
     fuzzy_distance: int = 2
     frontier: int = 50
     max_depth: int = 3

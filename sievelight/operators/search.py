@@ -94,12 +94,13 @@ def substring(index: Index, query: str, limit: int, where: Column | None = None)
     return _best(hits.filter("_tf > 0").join(F.broadcast(stats)).select("chunk_id", score.alias("score")), limit)
 
 
-def vocabulary(index: Index, limit: int) -> DataFrame:
-    """The first terms of the content, in alphabetical order."""
+def vocabulary(index: Index, limit: int | None) -> DataFrame:
+    """The first terms of the content in alphabetical order, or all in any order."""
     words = index.chunks.select(F.explode(T.tokens(F.col("content"))).alias("term"))
     if index.stem:
         words = porter.stems(words).select(F.col("stem").alias("term"))
-    return words.distinct().orderBy("term").limit(limit)
+    terms = words.distinct()
+    return terms if limit is None else terms.orderBy("term").limit(limit)
 
 
 def corrections(index: Index, query: str, settings: Settings) -> DataFrame:
@@ -108,7 +109,7 @@ def corrections(index: Index, query: str, settings: Settings) -> DataFrame:
     words = spark.createDataFrame([(i, w) for i, w in enumerate(query.split())], "pos int, word string")
     terms = vocabulary(index, settings.fuzzy_terms)
     far = settings.fuzzy_distance
-    # The query's words against a bounded list of terms.
+    # The query's few words against each term.
     near = terms.join(F.broadcast(words)).withColumn("distance", F.levenshtein(F.lower("word"), F.col("term"), far)).filter("distance >= 0")
     best = near.groupBy("pos").agg(F.min_by("term", F.struct("distance", "term")).alias("term"))
     return words.join(best, "pos", "left").select("pos", "word", F.coalesce("term", "word").alias("corrected"))

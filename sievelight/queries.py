@@ -148,7 +148,7 @@ best AS (SELECT pos, arg_min(term, (d, term)) AS term FROM near GROUP BY pos)"""
 
 @query(f"WITH {FUZZY_SQL.replace("FEWEST", "100000")} SELECT CAST(q.pos AS INTEGER) AS pos, q.word, coalesce(best.term, q.word) AS corrected FROM q LEFT JOIN best USING (pos)")
 def fuzzy_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.corrections(corpus(spark, sf_dir), FUZZY, Settings(fuzzy_terms=100_000))
+    return search.corrections(corpus(spark, sf_dir), FUZZY, Settings(fuzzy_terms=None))
 
 
 @query(f"WITH {FUZZY_SQL.replace("FEWEST", "500")} SELECT term FROM few")

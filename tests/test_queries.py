@@ -47,6 +47,13 @@ def test_bm25_is_one_scan_without_a_shuffle_of_rows(spark):
     assert "BroadcastNestedLoopJoin" in plan or "BroadcastExchange" in plan
 
 
+def test_corrections_look_at_the_whole_vocabulary(spark, tmp_path):
+    text = " ".join(f"a{i:06d}" for i in range(100_100)) + " thing heat"
+    spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: r.corrected for r in queries.fuzzy_correct(spark, str(tmp_path)).collect()}
+    assert got == {"thinng": "thing", "heatt": "heat", "zzzzzzzz": "zzzzzzzz"}
+
+
 def test_filters_reach_the_scan(spark):
     plan = queries.read_chunks(spark, SF)._jdf.queryExecution().toString()
     assert "EqualTo(source,src3)" in plan
