@@ -22,9 +22,12 @@ def read_events(spark: SparkSession, folder: str, schema: str, fmt: str = "parqu
     return spark.readStream.schema(schema).format(fmt).load(folder)
 
 
-def distinct_stream(rows: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """The first event of each content; contents are remembered for as long as the watermark."""
-    return rows.withColumn("data_hash", F.sha2("data", 256)).withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["data_hash"])
+def distinct_stream(rows: DataFrame, watermark: str | None = None) -> DataFrame:
+    """The first event of each content; contents are remembered for ever, or, if a watermark is given, for as long as that."""
+    hashed = rows.withColumn("data_hash", F.sha2("data", 256))
+    if watermark is None:
+        return hashed.dropDuplicates(["data_hash"])
+    return hashed.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["data_hash"])
 
 
 def retained_stream(rows: DataFrame, sink: Callable[[DataFrame, int], None], most: int = 500, session: str | None = None):

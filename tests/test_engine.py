@@ -149,3 +149,14 @@ def test_streams(spark, tmp_path):
     alerts = streaming.alert_stream(streaming.read_events(spark, str(tmp_path / "tokens"), tokens), Settings(budget_tokens=1000))
     alerts.writeStream.format("memory").queryName("alerts").outputMode("append").option("checkpointLocation", str(tmp_path / "s4")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.session, r.threshold) for r in spark.table("alerts").collect()) == [("a", 40), ("a", 90)]
+
+
+def test_a_stream_never_forgets_a_content(spark, tmp_path):
+    schema = "event_id long, data string, created_at timestamp"
+    folder = str(tmp_path / "events")
+    for i, (data, day) in enumerate((("x", 1), ("y", 8), ("z", 15), ("x", 22))):
+        spark.createDataFrame([(i, data, datetime(2024, 1, day))], schema).coalesce(1).write.mode("append").parquet(folder)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = streaming.distinct_stream(rows).writeStream.format("memory").queryName("never_forgotten").option("checkpointLocation", str(tmp_path / "s"))
+    stream.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.event_id for r in spark.table("never_forgotten").collect()) == [0, 1, 2]
