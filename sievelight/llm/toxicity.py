@@ -1,9 +1,11 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Documents are labelled, tokens are not: a token of a toxic document counts as toxic if a feature of it (the word, or its
+Documents are labelled, tokens are not: a token of a toxic document counts as toxic if a feature of it (a word, or its
 first or last letters) occurs in toxic documents far more than in clean ones.  From these labelled tokens the field's
-weights are learnt.  Forward-backward marginals give each document the chance that any token is toxic, the expected
+weights are learnt: a token's emission is the sum of the weights of all its features, in training as in scoring.
+Forward-backward marginals give each document the chance that any token is toxic, the expected
 count of toxic tokens and the offending offsets; a logistic curve, fitted to the labelled documents, makes the score.
+Nothing depends on the order of rows or on a process's hash seed.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks
+from . import blocks, near_dup
 
 #: Bounds of the labelled sample: documents of each label.
 SAMPLE_TOXIC = 2_000
@@ -37,22 +40,26 @@ _WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"\S+")
 
 
-def word_features(word: str) -> list[str]:
+@lru_cache(50_000)
+def word_features(word: str) -> tuple[str, ...]:
     """The word, its first 4 to 7 letters and its last 5, if it is longer."""
-    found = ["=" + word]
-    found += [f"{n}^" + word[:n] for n in (4, 5, 6, 7) if len(word) >= n]
-    if len(word) > 5:
-        found.append("$" + word[-5:])
-    return found
+    first = (f"{n}^" + word[:n] for n in (4, 5, 6, 7) if len(word) >= n)
+    return ("=" + word, *first, *(("$" + word[-5:],) if len(word) > 5 else ()))
+
+
+def token_features(token: str) -> list[str]:
+    """The features of all words in a token, each once, in their order."""
+    return list(dict.fromkeys(f for word in _WORD.findall(token) for f in word_features(word)))
 
 
 def _distinct(texts: list[str]) -> np.ndarray:
-    """Which texts are not mostly copies of an earlier one (by a sixteenth of their five-word shingles)."""
+    """Which texts are not mostly copies of an earlier one (by a sixteenth of the five-word shingles of long ones)."""
+    words = near_dup.WordHashes()
     seen: set[int] = set()
     keep = np.zeros(len(texts), bool)
     for i, text in enumerate(texts):
-        words = _WORD.findall(text.lower())
-        its = {h for k in range(max(1, len(words) - 4)) if (h := hash(tuple(words[k : k + 5]))) % (16 if len(words) > 100 else 1) == 0}
+        h, _ = near_dup.shingles(text, words)
+        its = set((h[h % np.uint64(16) == 0] if len(h) > 100 else h).tolist())
         keep[i] = not its or len(its & seen) < 0.3 * len(its)
         seen |= its
     return keep
@@ -101,13 +108,8 @@ class Field:
     curve: np.ndarray
 
     def emission(self, token: str) -> float:
-        """Of the toxic state over the clean one, without the bias; the most of the words in a token."""
-        best = 0.0
-        for word in _WORD.findall(token):
-            known = [self.weights[f] for f in word_features(word) if f in self.weights]
-            if known and (s := sum(known)) > best:
-                best = s
-        return best
+        """Of the toxic state over the clean one, without the bias: the sum of the weights of the token's features."""
+        return sum(self.weights[f] for f in token_features(token) if f in self.weights)
 
 
 class Emissions(dict):
@@ -134,7 +136,7 @@ def marginals(emissions: np.ndarray, field: Field) -> tuple[np.ndarray, np.ndarr
         return at, np.array([]), 0.0, -30.0
     (t00, t01), (t10, t11) = np.exp(field.moves).tolist()
     base = math.exp(field.bias)
-    e = np.exp(np.minimum(emissions[at].astype(float), 50.0)).tolist()
+    e = np.exp(np.clip(emissions[at].astype(float), -50.0, 50.0)).tolist()
 
     # Forward: the ratio at each token without its own emission; the token before the first has none.
     ratios, positions = [], [int(a) for a in at]
@@ -236,24 +238,31 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Fiel
         return flat
     # Labelled tokens, in windows around those of toxic documents and from clean ones.
     index = {f: i for i, f in enumerate(sorted(strength))}
-    none = len(index)
-    xs, ys = [], []
+    feature: list[int] = []
+    token: list[int] = []
+    ys: list[np.ndarray] = []
     rng = np.random.default_rng(7)
+    known: dict[str, list[int]] = {}
     for text, label, ok in zip(texts, y, own, strict=True):
         tokens = text.lower().split()
-        marks = [[index[f] for w in _WORD.findall(t) for f in word_features(w) if f in index][:7] for t in tokens]
+        if not tokens or not (ok or label == 0):
+            continue
+        for t in tokens:
+            if t not in known:
+                known[t] = [index[f] for f in token_features(t) if f in index]
+        marks = [known[t] for t in tokens]
         starts = window_starts([i for i, m in enumerate(marks) if m], len(tokens))
-        if len(tokens) > 0:
-            starts.append(int(rng.integers(0, max(1, len(tokens) - WINDOW + 1))))
-        for s in starts if ok or label == 0 else []:
-            x, t = np.full((WINDOW, 7), none, np.int32), np.zeros(WINDOW, np.int8)
+        starts.append(int(rng.integers(0, max(1, len(tokens) - WINDOW + 1))))
+        for s in starts:
+            t = np.zeros(WINDOW, np.int8)
             for k, m in enumerate(marks[s : s + WINDOW]):
-                x[k, : len(m)] = m
-                t[k] = int(bool(m) and label == 1)
-            xs.append(x)
+                if m:
+                    feature += m
+                    token += [len(ys) * WINDOW + k] * len(m)
+                    t[k] = label == 1
             ys.append(t)
-    weights, bias, moves = _fit(np.array(xs), np.array(ys), none)
-    field = Field({f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 1e-3}, bias, moves, np.zeros(3))
+    weights, bias, moves = _fit(np.array(feature, np.int64), np.array(token, np.int64), np.array(ys), len(index))
+    field = Field({f: float(weights[i]) for f, i in index.items() if weights[i]}, bias, moves, np.zeros(3))
     # The document curve.
     field.curve = np.array([0.0, 1.0, 0.0])
     cache = Emissions(field)
@@ -266,35 +275,50 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None) -> Fiel
     return field
 
 
-def _fit(x: np.ndarray, y: np.ndarray, none: int, ridge: float = 0.02) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights by Adagrad on the log likelihood of label sequences; features `none` are padding."""
-    w, bias, moves = np.zeros(none + 1), -3.0, np.zeros((2, 2))
-    gw, gb, gm = np.full(none + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)
+def _fit(feature: np.ndarray, token: np.ndarray, y: np.ndarray, n_features: int, ridge: float = 0.02) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights by Adagrad on the log likelihood of label sequences, a row of y each; entry k says that `feature[k]` holds at place
+    `token[k]` of y, read row by row."""
+    w, bias, moves = np.zeros(n_features), -3.0, np.zeros((2, 2))
+    gw, gb, gm = np.full(n_features, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     n, length = y.shape
     pairs = np.array([[np.sum((y[:, :-1] == a) & (y[:, 1:] == b)) for b in (0, 1)] for a in (0, 1)], float)
     for _ in range(ROUNDS):
-        s = w[x].sum(2) + bias
-        emit = np.stack([np.zeros_like(s), s], 2)
-        alpha = np.empty((n, length, 2))
-        beta = np.zeros((n, length, 2))
-        alpha[:, 0] = emit[:, 0]
-        for t in range(1, length):
-            alpha[:, t] = np.logaddexp(alpha[:, t - 1, :1] + moves[0], alpha[:, t - 1, 1:] + moves[1]) + emit[:, t]
-        for t in range(length - 2, -1, -1):
-            ahead = beta[:, t + 1] + emit[:, t + 1]
-            beta[:, t] = np.logaddexp(ahead[:, :1] + moves[:, 0], ahead[:, 1:] + moves[:, 1])
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None])
-        expect = np.array([[np.exp(alpha[:, :-1, a] + moves[a, b] + beta[:, 1:, b] + emit[:, 1:, b] - z[:, None]).sum() for b in (0, 1)] for a in (0, 1)])
-        d = y - p
-        dw = np.bincount(x.ravel(), np.repeat(d.ravel(), x.shape[2]), none + 1) - ridge * w
-        dw[none] = 0
+        s = np.bincount(token, w[feature], y.size).reshape(y.shape) + bias
+        p, expect = _expected(np.exp(np.clip(s, -50, 50)).T, np.exp(moves))
+        d = y - p.T
+        dw = np.bincount(feature, d.ravel()[token], n_features) - ridge * w
         dm, db = pairs - expect - ridge * moves, d.sum() - ridge * bias
         gw, gb, gm = gw + dw**2, gb + db**2, gm + dm**2
         w, bias, moves = w + 0.6 * dw / np.sqrt(gw), bias + 0.6 * db / math.sqrt(gb), moves + 0.3 * dm / np.sqrt(gm)
     return w, float(bias), moves
 
 
+def _expected(e: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sequences (columns of e, factors of the toxic state): marginals and the expected moves, by scaled forward-backward."""
+    length, n = e.shape
+    toxic = np.empty((length, n))  # forward shares of the toxic state
+    toxic[0] = e[0] / (1 + e[0])
+    for t in range(1, length):
+        c, x = 1 - toxic[t - 1], toxic[t - 1]
+        clean, tox = c * m[0, 0] + x * m[1, 0], (c * m[0, 1] + x * m[1, 1]) * e[t]
+        toxic[t] = tox / (clean + tox)
+    p, expect = np.empty((length, n)), np.zeros((2, 2))
+    b0, b1 = np.ones(n), np.ones(n)
+    for t in range(length - 1, -1, -1):
+        c, x = (1 - toxic[t]) * b0, toxic[t] * b1
+        p[t] = x / (c + x)
+        if t:
+            c, x = 1 - toxic[t - 1], toxic[t - 1]
+            to0, to1 = b0, e[t] * b1
+            four = [[c * m[0, 0] * to0, c * m[0, 1] * to1], [x * m[1, 0] * to0, x * m[1, 1] * to1]]
+            z = four[0][0] + four[0][1] + four[1][0] + four[1][1]
+            expect += np.array([[(v / z).sum() for v in row] for row in four])
+            b0, b1 = m[0, 0] * to0 + m[0, 1] * to1, m[1, 0] * to0 + m[1, 1] * to1
+            scale = b0 + b1
+            b0, b1 = b0 / scale, b1 / scale
+    return p, expect
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Weights by Newton steps; the first column, the constant, is not held down."""
     w, hold = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -334,10 +358,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(df: DataFrame, field: Field, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all by default), score double, predicted int and spans (start, end, p) of each whole text.
 
-    Null and empty texts get the score of a text without any toxic token.  Rows that repeat are each scored.
+    Null and empty texts get the score of a text without any toxic token.  Rows that repeat are each scored.  Columns score,
+    predicted and spans of df are replaced.
     """
     blocks.session_limits(df.sparkSession)
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted", "spans")]
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -179,7 +182,7 @@ def test_windows_hold_every_marked_token(monkeypatch):
             assert {k for i in centres for k in range(max(0, i - 12), min(n, i + 12))} <= set(held)
     seen = []
     fit = toxicity._fit
-    monkeypatch.setattr(toxicity, "_fit", lambda x, y, none: seen.append(int(y.sum())) or fit(x, y, none))
+    monkeypatch.setattr(toxicity, "_fit", lambda feature, token, y, n: seen.append(int(y.sum())) or fit(feature, token, y, n))
     texts, labels = labelled()
     many = " ".join(f"zorgle {' '.join(words(rng, 60))}" for _ in range(40))
     for extra in ([], [many]):
@@ -187,6 +190,64 @@ def test_windows_hold_every_marked_token(monkeypatch):
     assert seen[1] - seen[0] >= 40
 
 
+def test_gradient_by_all_paths():
+    rng = np.random.default_rng(21)
+    s, moves = rng.normal(0, 2, (3, 5)), rng.normal(0, 1, (2, 2))
+    p, expect = toxicity._expected(np.exp(s).T, np.exp(moves))
+    want, pairs = np.zeros((3, 5)), np.zeros((2, 2))
+    for k in range(3):
+        paths = [[path >> t & 1 for t in range(5)] for path in range(32)]
+        w = np.array([math.exp(sum(s[k, t] * y[t] for t in range(5)) + sum(moves[y[t], y[t + 1]] for t in range(4))) for y in paths])
+        w /= w.sum()
+        want[k] = w @ np.array(paths)
+        for y, x in zip(paths, w, strict=True):
+            for t in range(4):
+                pairs[y[t], y[t + 1]] += x
+    assert np.allclose(p.T, want) and np.allclose(expect, pairs)
+
+
+def test_scores_of_a_fold_by_the_plain_recursion(spark, frame):
+    """The whole way from labelled rows to held-out scores, against dense forward-backward sums over every token."""
+    texts, labels = labelled(22, 260)
+    docs = frame(list(enumerate(texts)))
+    known = spark.createDataFrame([(i, 1, y) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int")
+    field = toxicity.learn(docs, known)
+    kept = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    rate = (sum(labels[i] for i in kept) + 0.5) / (len(kept) + 1)
+    again = toxicity.train([texts[i] for i in kept], [labels[i] for i in kept], rate)
+    assert again.weights == field.weights and (again.curve == field.curve).all()
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, field, keep=["doc_id"]).collect()}
+    assert len(scores) == len(texts)
+    for i in set(range(len(texts))) - set(kept):
+        s = np.array([field.bias + sum(field.weights.get(f, 0.0) for f in dict.fromkeys(f for w in re.findall(r"\w+", t) for f in toxicity.word_features(w))) for t in texts[i].lower().split()])
+        alpha, beta = np.zeros((len(s), 2)), np.zeros((len(s), 2))
+        alpha[0] = [0, s[0]]
+        for t in range(1, len(s)):
+            alpha[t] = [np.logaddexp(alpha[t - 1, 0] + field.moves[0, b], alpha[t - 1, 1] + field.moves[1, b]) + b * s[t] for b in (0, 1)]
+        for t in range(len(s) - 2, -1, -1):
+            beta[t] = [np.logaddexp(beta[t + 1, 0] + field.moves[a, 0], beta[t + 1, 1] + s[t + 1] + field.moves[a, 1]) for a in (0, 1)]
+        z = np.logaddexp(*alpha[-1])
+        some = s != field.bias  # tokens without a feature don't count towards the expected number
+        count = np.exp(alpha[:, 1] + beta[:, 1] - z)[some].sum()
+        odds = math.log(max(math.expm1(z - field.moves[0, 0] * (len(s) - 1)), 1e-13)) if some.any() else -30.0
+        x = field.curve @ np.array([1.0, np.clip(odds, -8, 8), math.log1p(count)])
+        assert abs(scores[i] - 1 / (1 + math.exp(-x))) < 1e-6
+    assert np.mean([(scores[i] >= 0.5) == labels[i] for i in set(range(len(texts))) - set(kept)]) > 0.9
+
+
+def test_scores_do_not_hang_on_the_hash_seed():
+    """Near copies, whose counting hangs on their shingles' hashes, in processes with different seeds."""
+    code = (
+        "import sys; sys.path.insert(0, %r)\nimport random\nfrom sievelight.llm import toxicity\nrng = random.Random(5)\n"
+        "base = [' '.join(rng.choice('lor mip sun tar wen gol vash zorg'.split()) + str(rng.randrange(40)) for _ in range(150)) for _ in range(20)]\n"
+        "texts = [t.replace('7', str(k), 3 * k) + (' vashik zorgle' if i %% 4 == 0 else '') for i, t in enumerate(base) for k in range(4)]\n"
+        "f = toxicity.train(texts, [int('vashik' in t) for t in texts])\nc = toxicity.Emissions(f)\n"
+        "print(toxicity._distinct(texts).tolist(), [repr(toxicity.describe(t, c, f)[0]) for t in texts])\n"
+    ) % os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = [subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed}, capture_output=True, text=True, check=True).stdout for seed in ("0", "1", "77")]
+    assert said[0] == said[1] == said[2] and said[0].startswith("[True")
+
+
 def test_marginals_by_all_paths(field):
     rng = np.random.default_rng(11)
     for _ in range(30):
@@ -235,6 +296,10 @@ def test_scores_and_offsets(frame, field):
     kept = toxicity.reject(df, field)
     assert kept.columns == df.columns and sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(r.doc_id) for r in rows if not r.predicted)
     assert toxicity.score(frame([]), field).count() == 0
+    clash = df.withColumns({"score": F.lit("s"), "predicted": F.lit("p"), "spans": F.lit(1)})
+    out = toxicity.score(clash, field)
+    assert sorted(out.columns) == sorted(clash.columns) and dict(out.dtypes)["score"] == "double" and out.count() == len(docs)
+    assert toxicity.reject(clash, field).filter("score = 's' AND predicted = 'p' AND spans = 1").count() == kept.count()
 
 
 def test_labels_without_a_class_or_without_rows(spark, frame):
@@ -257,8 +322,6 @@ def test_only_labels_of_documents_at_hand_count(spark, frame, monkeypatch):
 
 
 def test_held_out_rows_are_not_learnt_from(spark):
-    import zlib
-
     rows = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", toxicity.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
