@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Raw bytes that a map task gathers before it ships blocks.
@@ -92,6 +92,21 @@ def splitters(df: DataFrame, column: str, n: int) -> np.ndarray:
     return np.unique(np.array(cuts or [], dtype=np.int64))
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever the name holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def numbered(names: list[str]) -> list[Column]:
+    """These columns as c_0, c_1, ...: any names get through Arrow functions and can't clash."""
+    return [column(c).alias(f"c_{i}") for i, c in enumerate(names)]
+
+
+def named(names: list[str]) -> list[Column]:
+    """Numbered columns under their names again."""
+    return [F.col(f"c_{i}").alias(c) for i, c in enumerate(names)]
+
+
 def deal(df: DataFrame, assign: Callable[[pa.Table], Iterable[tuple[int, np.ndarray | None]]]) -> DataFrame:
     """Rows (bucket int, block binary) of df's rows; assign(table) yields (bucket, row numbers, None for all)."""
 

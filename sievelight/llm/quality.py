@@ -3,7 +3,8 @@
 An additive logistic model of plain text measures, each cut into quantile bins, is fitted to a bounded sample of labelled
 documents.  Its probabilities over all documents give each host, and each path of a host, a mean; the means are shrunk,
 paths to their host's and hosts to the global one, by as much as the spread between sites (by the method of moments) is
-less than chance alone would make.  A document's log odds are the classifier's, with the global prior replaced by that of its path.
+less than chance alone would make.  A document's log odds are the classifier's, with the global prior replaced by that of its
+path, which the path's, host's and all other documents make: the document's own evidence is left out of it.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ from . import blocks, toxicity
 #: The labelled sample's bound, and bins for each measure.
 SAMPLE = 5_000
 BINS = 10
-#: Site tables of up to so many rows are broadcast; larger ones are joined by shuffles, salted.
+#: At most so many sites are broadcast: all, or those that hold more than their part of the rows; the rest is joined by shuffles.
 BROADCAST_SITES = 20_000
-SALTS = 16
 
 MEASURES = ("log_words", "word_length", "distinct_words", "top_word", "upper", "digits", "marks", "stars", "bars", "shouts", "stops", "lines", "other_bytes", "dup_lines", "long_words")
 
@@ -103,8 +103,9 @@ def train(texts: list[str], good: list[int]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """The classifier from a bounded sample of labelled documents that aren't held out."""
+    """The classifier from a bounded sample of the labelled documents that are in docs and aren't held out."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("good")).filter(F.col("doc_id").isNotNull() & F.col("good").isin(0, 1) & ~toxicity.held_out("doc_id"))
+    known = known.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).dropDuplicates(["doc_id"])
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # The sample is bounded by its parameter, so it may be broadcast and collected.
@@ -117,11 +118,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def evidence(df: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all by default) with __host, __path and __logit, the classifier's log odds of good quality."""
+    """The columns `keep` (all by default), numbered, with __host, __path and __logit, the classifier's log odds of good quality."""
     blocks.session_limits(df.sparkSession)
     keep = df.columns if keep is None else keep
     none = F.lit("")
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(host.cast("string"), none).alias("__host"), F.coalesce(path.cast("string"), none).alias("__path"), F.col(text_col).cast("string").alias("__text"))
+    rows = df.select(*blocks.numbered(keep), F.coalesce(host.cast("string"), none).alias("__host"), F.coalesce(path.cast("string"), none).alias("__path"), blocks.column(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,66 +133,87 @@ def evidence(df: DataFrame, model: Model, host: Column, path: Column, text_col:
     return rows.mapInArrow(run, ", ".join([*kinds, "__logit double"]))
 
 
-def site_priors(scored: DataFrame) -> tuple[DataFrame, float, int]:
-    """(__host, __path, host_posterior, path_posterior), the global mean and how many rows there are."""
+@dataclass
+class Priors:
+    """All rows and the sum of their probabilities, how many sites there are, and the priors' weights in documents (infinite where
+    sites differ no more than chance would have it)."""
+
+    rows: float
+    total: float
+    sites: int
+    host_strength: float
+    path_strength: float
+
+
+def site_priors(scored: DataFrame) -> tuple[DataFrame, Priors]:
+    """(__host, __path, __n, __s, __hn, __hs): rows and sums of probabilities of each path and its host; and the priors."""
     p = 1 / (1 + F.exp(-F.col("__logit")))
-    paths = blocks.settle(scored.groupBy("__host", "__path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(p).alias("s")), "sites")
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.count(F.lit(1)).cast("double").alias("k"), F.sum(F.col("n") ** 2).alias("n2"), F.sum(F.col("s") ** 2 / F.col("n")).alias("m2"))
-    t = hosts.agg(*[F.sum(c).alias(c) for c in ("hn", "hs", "k", "n2", "m2")], F.count(F.lit(1)).alias("hosts"), F.sum(F.col("hn") ** 2).alias("h2"), F.sum(F.col("hs") ** 2 / F.col("hn")).alias("hm2"), F.sum(F.col("n2") / F.col("hn")).alias("n2h")).first()
-    if not t.hn:
-        return paths.select("__host", "__path", F.lit(0.5).alias("host_posterior"), F.lit(0.5).alias("path_posterior")), 0.5, 0
-    mean = t.hs / t.hn
+    paths = blocks.settle(scored.groupBy("__host", "__path").agg(F.count(F.lit(1)).cast("double").alias("__n"), F.sum(p).alias("__s")), "sites")
+    hosts = paths.groupBy("__host").agg(F.sum("__n").alias("__hn"), F.sum("__s").alias("__hs"), F.count(F.lit(1)).cast("double").alias("k"), F.sum(F.col("__n") ** 2).alias("n2"), F.sum(F.col("__s") ** 2 / F.col("__n")).alias("m2"))
+    hn, hs = F.col("__hn"), F.col("__hs")
+    t = hosts.agg(F.sum(hn).alias("n"), F.sum(hs).alias("s"), F.sum("k").alias("k"), F.sum("m2").alias("m2"), F.count(F.lit(1)).alias("hosts"), F.sum(hn**2).alias("h2"), F.sum(hs**2 / hn).alias("hm2"), F.sum(F.col("n2") / hn).alias("n2h")).first()
+    out = paths.join(hosts.select("__host", "__hn", "__hs"), "__host")
+    if not t.n:
+        return out, Priors(0.0, 0.0, 0, math.inf, math.inf)
+    mean = t.s / t.n
     within = mean * (1 - mean)
 
     def strength(spread: float, groups: float, scale: float) -> float:
-        """Documents' worth of the prior: infinite where sites differ no more than chance would have it."""
         between = (spread - groups * within) / scale if scale > 0 else 0.0
         return max(0.0, within / between - 1) if between > 1e-12 else math.inf
 
-    host_strength = strength(t.hm2 - t.hn * mean**2, t.hosts - 1, t.hn - t.h2 / t.hn)
-    path_strength = strength(t.m2 - t.hm2, t.k - t.hosts, t.hn - t.n2h)
-
-    def shrunk(sum_col: str, n_col: str, prior: Column, k: float) -> Column:
-        return prior if math.isinf(k) else (F.col(sum_col) + F.lit(k) * prior) / (F.col(n_col) + F.lit(k))
+    return out, Priors(t.n, t.s, int(t.k), strength(t.hm2 - t.n * mean**2, t.hosts - 1, t.n - t.h2 / t.n), strength(t.m2 - t.hm2, t.k - t.hosts, t.n - t.n2h))
 
-    posterior = hosts.select("__host", shrunk("hs", "hn", F.lit(mean), host_strength).alias("host_posterior"))
-    out = paths.join(posterior, "__host").select("__host", "__path", "host_posterior", shrunk("s", "n", F.col("host_posterior"), path_strength).alias("path_posterior"))
-    return out, mean, int(t.k)
 
-
-def with_posteriors(scored: DataFrame, sites: DataFrame, mean: float, n_sites: int) -> DataFrame:
-    """`scored` with host_posterior, path_posterior and score: the chance of good quality under the path's prior."""
-    if n_sites <= BROADCAST_SITES:
-        joined = scored.join(F.broadcast(sites), ["__host", "__path"])
-    else:  # a site may hold a third of all rows
-        salted = scored.withColumn("__salt", F.pmod(F.xxhash64("__logit", F.monotonically_increasing_id()), F.lit(SALTS)))
-        spread = sites.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = salted.join(spread, ["__host", "__path", "__salt"]).drop("__salt")
+def with_posteriors(scored: DataFrame, sites: DataFrame, priors: Priors) -> DataFrame:
+    """`scored` with __host_posterior, __path_posterior and __score: the chance of good quality under the path's prior without this row."""
+    keys = ["__host", "__path"]
+    if priors.sites <= BROADCAST_SITES:
+        joined = scored.join(F.broadcast(sites), keys)
+    else:
+        # A site may hold a third of all rows.  Those above their part of the rows are no more than BROADCAST_SITES.
+        part = max(1.0, priors.rows / max(1, BROADCAST_SITES))
+        hot, cold = sites.filter(F.col("__n") > part), sites.filter(F.col("__n") <= part)
+        rest = scored.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+        joined = scored.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
     def odds(p: Column) -> Column:
         held = F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
         return F.log(held / (1 - held))
 
-    return joined.withColumn("score", 1 / (1 + F.exp(-(F.col("__logit") + odds(F.col("path_posterior")) - odds(F.lit(mean))))))
+    def shrunk(total: str, n: str, prior: Column, k: float) -> Column:
+        if math.isinf(k):
+            return prior
+        weight = F.col(n) - 1 + k
+        return F.when(weight > 0, (F.col(total) - own + k * prior) / weight).otherwise(prior)
+
+    own = 1 / (1 + F.exp(-F.col("__logit")))
+    mean = (F.lit(priors.total) - own) / (priors.rows - 1) if priors.rows > 1 else F.lit(0.5)
+    out = joined.withColumn("__host_posterior", shrunk("__hs", "__hn", mean, priors.host_strength))
+    out = out.withColumn("__path_posterior", shrunk("__s", "__n", F.col("__host_posterior"), priors.path_strength))
+    return out.withColumn("__score", 1 / (1 + F.exp(-(F.col("__logit") + odds(F.col("__path_posterior")) - odds(mean)))))
 
 
 def classify(df: DataFrame, model: Model, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted (1: good), host_posterior and path_posterior of each row.
 
     Null and empty texts are scored as a text without words; null hosts and paths are a site of their own, ''.  Rows that
-    repeat are each scored.  Where all labels agree, or there are none, scores are that prior's.
+    repeat are each scored.  Where all labels agree, or there are none, scores are that prior's.  A lone row of its path has its
+    host's posterior, a lone row of its host the mean of all others, a lone row of all 0.5.
     """
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__t"), host.alias("__h"), path.alias("__p"))
-    scored = blocks.settle(evidence(rows, model, F.col("__h"), F.col("__p"), "__t", ["doc_id"]), "evidence")
+    scored = blocks.settle(evidence(df, model, host, path, text_col, [id_col]), "evidence")
     out = with_posteriors(scored, *site_priors(scored))
-    return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "host_posterior", "path_posterior")
+    return out.select(F.col("c_0").alias("doc_id"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"), F.col("__host_posterior").alias("host_posterior"), F.col("__path_posterior").alias("path_posterior"))
 
 
 def reject(df: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text") -> DataFrame:
-    """The rows of df, unchanged, that aren't predicted to be of bad quality."""
-    stats = evidence(df, model, host, path, text_col, [])
-    out = with_posteriors(evidence(df, model, host, path, text_col), *site_priors(stats))
-    return out.filter("score >= 0.5").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of df, all their columns unchanged whatever their names, that aren't predicted to be of bad quality.
+
+    Each text is measured once: rows and evidence are written to the shared folder, and only the evidence is read for the sites.
+    """
+    scored = blocks.settle(evidence(df, model, host, path, text_col), "evidence")
+    out = with_posteriors(scored, *site_priors(scored.select("__host", "__path", "__logit")))
+    return out.filter("__score >= 0.5").select(*blocks.named(df.columns))
 
 
 def document_site() -> tuple[Column, Column]:

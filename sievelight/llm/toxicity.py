@@ -363,7 +363,7 @@ def score(df: DataFrame, field: Field, text_col: str = "text", keep: list[str] |
     """
     blocks.session_limits(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted", "spans")]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text"))
+    rows = df.select(*blocks.numbered(keep), blocks.column(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Emissions(field)
@@ -373,10 +373,11 @@ def score(df: DataFrame, field: Field, text_col: str = "text", keep: list[str] |
                 x, at, p = describe(text or "", cache, field)
                 scores.append(x)
                 found.append(spans(text or "", at, p))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))], [*keep, "score", "predicted", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))], [*batch.schema.names[:-1], "score", "predicted", "spans"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "score double, predicted int, spans array<struct<start: int, end: int, p: double>>"]))
+    out = rows.mapInArrow(run, ", ".join([*kinds, "score double, predicted int, spans array<struct<start: int, end: int, p: double>>"]))
+    return out.select(*blocks.named(keep), "score", "predicted", "spans")
 
 
 def reject(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
@@ -390,4 +391,5 @@ def reject(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
             ok = [describe(t or "", cache, field)[0] < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    rows = df.select(*blocks.numbered(df.columns))
+    return rows.mapInArrow(run, rows.schema).select(*blocks.named(df.columns))

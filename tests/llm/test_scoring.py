@@ -296,7 +296,7 @@ def test_scores_and_offsets(frame, field):
     kept = toxicity.reject(df, field)
     assert kept.columns == df.columns and sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(r.doc_id) for r in rows if not r.predicted)
     assert toxicity.score(frame([]), field).count() == 0
-    clash = df.withColumns({"score": F.lit("s"), "predicted": F.lit("p"), "spans": F.lit(1)})
+    clash = df.withColumns({"score": F.lit("s"), "predicted": F.lit("p"), "spans": F.lit(1), "a.b": F.lit(1)})
     out = toxicity.score(clash, field)
     assert sorted(out.columns) == sorted(clash.columns) and dict(out.dtypes)["score"] == "double" and out.count() == len(docs)
     assert toxicity.reject(clash, field).filter("score = 's' AND predicted = 'p' AND spans = 1").count() == kept.count()
@@ -350,33 +350,56 @@ def test_held_out_quality():
     assert ((z >= 0) == np.array(labels)).mean() > 0.98
 
 
-@pytest.mark.parametrize("most", [20_000, 0])
+@pytest.mark.parametrize("most", [20_000, 3])
 def test_site_posteriors(spark, monkeypatch, most):
+    """Against sums over all other rows, one row at a time."""
     monkeypatch.setattr(quality, "BROADCAST_SITES", most)
     rng = random.Random(14)
     rows = []
     for host, share in (("good", 0.95), ("bad", 0.2), ("mixed", 0.6)):
         for path in ("a", "b"):
             p = min(0.97, max(0.05, share + (0.1 if path == "a" else -0.1)))
-            rows += [(host, f"{host}/{path}", 6.0 if rng.random() < p else -6.0) for _ in range(300)]
-    rows += [("lone", "lone/x", 6.0)]
+            rows += [(host, f"{host}/{path}", rng.gauss(0, 1) + (4.0 if rng.random() < p else -4.0)) for _ in range(60 if path == "a" else 25)]
+    rows += [("lone", "lone/x", 6.0), ("two", "two/x", 5.0), ("two", "two/y", -5.0)]
     scored = spark.createDataFrame(rows, "__host string, __path string, __logit double")
-    sites, mean, n = quality.site_priors(scored)
-    by = {r["__path"]: r for r in sites.collect()}
-    assert n == 7 and 0.4 < mean < 0.8
-    assert by["good/a"].path_posterior > 0.9 and by["bad/b"].path_posterior < 0.25
-    assert abs(by["lone/x"].path_posterior - mean) < 0.3  # one document moves its site less than all the way
-    assert by["good/b"].host_posterior < by["good/a"].path_posterior
-    out = quality.with_posteriors(scored, sites, mean, n)
-    assert out.count() == len(rows)
-    top = out.filter("__path = 'good/a' AND __logit > 0").first()
-    assert top.score > 1 / (1 + math.exp(-6.0))
+    p = np.array([1 / (1 + math.exp(-z)) for _, _, z in rows])
+    hosts, paths = np.array([h for h, _, _ in rows]), np.array([q for _, q, _ in rows])
+    n, mean = len(rows), p.mean()
+
+    def strength(labels, outer):
+        """Between-group variance by the method of moments: groups `labels` within groups `outer`."""
+        groups, around = sorted(set(labels)), sorted(set(outer))
+        size = {g: (labels == g).sum() for g in groups}
+        within = mean * (1 - mean)
+        spread = sum(((labels == g) & (outer == o)).sum() * (p[labels == g].mean() - p[outer == o].mean()) ** 2 for o in around for g in groups if ((labels == g) & (outer == o)).any())
+        scale = n - sum(size[g] ** 2 / (outer == o).sum() for o in around for g in groups if ((labels == g) & (outer == o)).any())
+        between = (spread - (len(groups) - len(around)) * within) / scale
+        return within / between - 1 if between > 1e-12 else math.inf
+
+    sites, priors = quality.site_priors(scored)
+    every = np.array(["all"] * n)
+    assert priors.sites == 9 and np.isclose(priors.host_strength, max(0, strength(hosts, every))) and np.isclose(priors.path_strength, max(0, strength(paths, hosts)))
+    got = {(r["__path"], round(r["__logit"], 9)): r for r in quality.with_posteriors(scored, sites, priors).collect()}
+    assert len(got) == n
+    for i, (h, q, z) in enumerate(rows):
+        others = np.arange(n) != i
+        all_others = p[others].mean()
+        mine = others & (hosts == h)
+        host = (p[mine].sum() + priors.host_strength * all_others) / (mine.sum() + priors.host_strength)
+        mine = others & (paths == q)
+        path = host if math.isinf(priors.path_strength) else (p[mine].sum() + priors.path_strength * host) / (mine.sum() + priors.path_strength)
+        r = got[q, round(z, 9)]
+        want = z + math.log(path / (1 - path)) - math.log(all_others / (1 - all_others))
+        assert np.isclose(r["__host_posterior"], host) and np.isclose(r["__path_posterior"], path) and np.isclose(r["__score"], 1 / (1 + math.exp(-want)))
+    assert np.isclose(got["lone/x", 6.0]["__path_posterior"], p[:-3].sum() / (n - 1) + (p[-2:].sum()) / (n - 1))
 
 
 def test_sites_alike_are_not_told_apart(spark):
     rows = [(f"h{i % 5}", f"h{i % 5}/p", 2.0 if i % 3 else -2.0) for i in range(1500)]
-    sites, mean, _ = quality.site_priors(spark.createDataFrame(rows, "__host string, __path string, __logit double"))
-    assert all(abs(r.path_posterior - mean) < 1e-9 for r in sites.collect())
+    scored = spark.createDataFrame(rows, "__host string, __path string, __logit double")
+    sites, priors = quality.site_priors(scored)
+    assert math.isinf(priors.host_strength) and math.isinf(priors.path_strength)
+    assert quality.with_posteriors(scored, sites, priors).filter("abs(__path_posterior - __host_posterior) > 1e-9").isEmpty()
 
 
 def test_quality_keeps_columns_and_odd_rows(frame):
@@ -384,6 +407,10 @@ def test_quality_keeps_columns_and_odd_rows(frame):
     df = frame([*ODD, (30, "a$$$ b### c%%% " * 40)])
     out = quality.reject(df, model, *quality.document_site())
     assert out.columns == df.columns and 30 not in {r.doc_id for r in out.collect()}
+    clash = df.withColumns({c: F.lit(0.25) for c in ("score", "path_posterior", "host_posterior", "predicted", "__host", "__path", "__logit", "__score", "__text", "__n", "a.b")})
+    same = quality.reject(clash, model, *quality.document_site())
+    assert same.columns == clash.columns and same.count() == out.count() and same.filter("score = 0.25 AND path_posterior = 0.25 AND __logit = 0.25 AND `a.b` = 0.25").count() == out.count()
+    assert quality.classify(clash, model, *quality.document_site()).count() == len(ODD) + 1
     assert quality.classify(df, model, F.lit(None).cast("string"), F.lit(None).cast("string")).count() == len(ODD) + 1
     assert quality.classify(frame([]), model, *quality.document_site()).count() == 0 and quality.reject(frame([]), model, *quality.document_site()).count() == 0
 
