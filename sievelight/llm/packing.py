@@ -67,8 +67,11 @@ class Capacities:
         return window
 
 
-def best_fit(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (document, start, length) that hold all ids of documents of these lengths."""
+def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[list[list[tuple[int, int, int]]], Capacities]:
+    """Best-fit decreasing: windows of pieces (document, start, length), and those that still have room.
+
+    Documents of a window or more give full windows first; what is left of each goes, longest first, to the tightest window.
+    """
     windows: list[list[tuple[int, int, int]]] = []
     full = lengths // window
     for doc in np.flatnonzero(full):
@@ -86,8 +89,15 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int,
             windows.append([])
         windows[at].append((doc, int(full[doc]) * window, need))
         tree.put(at, room - need)
+    return windows, tree
+
+
+def filled(windows: list[list[tuple[int, int, int]]], tree: Capacities) -> list[list[tuple[int, int, int]]]:
+    """The windows with their gaps filled, from the fullest on, by what the emptiest hold: one has room at most.
+
+    A document is cut only where it is taken out of one of the emptiest windows and no gap has room for it.
+    """
     partly = sorted(((room, at) for room, ats in enumerate(tree.open) for at in ats), key=lambda x: (x[0], x[1]))
-    # From the fullest window on, the gaps are filled with what the emptiest hold.
     lo, hi = 0, len(partly) - 1
     while lo < hi:
         gap, into = partly[lo]
@@ -119,7 +129,7 @@ def pack(df: DataFrame, vocabulary: bpe.Vocabulary, end_id: int, window: int = W
     end = np.array([end_id], "<u4").tobytes()
 
     def emit(docs: list, coded: list[bytes], first: int) -> tuple[pa.RecordBatch, int]:
-        packed = best_fit(np.fromiter(map(len, coded), np.int64, len(coded)) // 4, window)
+        packed = filled(*best_fit(np.fromiter(map(len, coded), np.int64, len(coded)) // 4, window))
         out: list[list] = [[] for _ in range(7 + with_ids)]
         for k, pieces in enumerate(packed):
             offset = 0

@@ -93,7 +93,18 @@ def test_packing(frame, whole):
 def test_best_fit_against_a_plain_search():
     rng = np.random.default_rng(5)
     lengths = rng.integers(0, 3000, 300)
-    packed = packing.best_fit(lengths)
+    windows, tree = packing.best_fit(lengths)
+    rooms = []  # best-fit decreasing by a scan of all windows; equally tight ones are alike
+    for n in sorted((int(n) % 1024 for n in lengths if n % 1024), reverse=True):
+        fits = [k for k, room in enumerate(rooms) if room >= n]
+        if fits:
+            k = min(fits, key=rooms.__getitem__)
+            rooms[k] -= n
+        else:
+            rooms.append(1024 - n)
+    assert sorted(1024 - sum(n for _, _, n in w) for w in windows) == sorted([*rooms, *[0] * int(sum(lengths // 1024))])
+    assert sorted(room for room, ats in enumerate(tree.open) for _ in ats) == sorted(room for room in rooms if room)
+    packed = packing.filled(windows, tree)
     assert sum(n for w in packed for _, _, n in w) == lengths.sum()
     assert all(sum(n for _, _, n in w) <= 1024 for w in packed)
     assert sum(sum(n for _, _, n in w) < 1024 for w in packed) <= 1
@@ -124,14 +135,50 @@ def test_token_store(spark, frame, whole, tmp_path):
         start += len(ids)
 
 
-def test_one_short_document_and_a_wrong_dictionary():
-    data = token_store.file_bytes(np.array([3, 5, 5]), [np.array(x, "<u4").tobytes() for x in ([1, 2], [7], [])], b"", 2)
-    held = token_store.TokenFile(lambda a, n: data[a : a + n], b"")
+@pytest.mark.parametrize("width", [2, 4])
+def test_one_short_document_and_a_wrong_dictionary(width):
+    few = b"\1\0\2\0\7\0\0\0"
+    data = token_store.file_bytes(np.array([3, 5, 5]), [np.array(x, "<u4").tobytes() for x in ([1, 2], [7], [])], few, width)
+    held = token_store.TokenFile(lambda a, n: data[a : a + n], few)
     assert [x.tolist() for x in held.document(5)] == [[7], []] and held.document(4) == []
     with pytest.raises(ValueError):
         token_store.TokenFile(lambda a, n: data[a : a + n], b"other")
 
 
+def test_a_short_document_is_read_by_its_own_bytes(tmp_path):
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, 50_000, n).astype("<u4").tobytes() for n in (200_000, 12, 300_000)]
+    few = rng.integers(0, 50_000, 2000).astype("<u2").tobytes()
+    path = tmp_path / "tokens-000000.bin"
+    path.write_bytes(token_store.file_bytes(np.array([1, 2, 3]), ids, few, 2))
+    with token_store.opened(f"file://{path}", few) as held:
+        read, plain = [], held.read
+        held.read = lambda start, size: read.append(size) or plain(start, size)
+        assert held.document(2)[0].tobytes() == ids[1]
+    assert len(read) == 1 and read[0] < 100 < 10_000 < path.stat().st_size
+
+
+def test_there_always_is_a_dictionary(frame):
+    """Too few samples, samples all alike, and no text: plain content instead of a trained dictionary."""
+    for docs in ([(1, "just one text")], [(i, "the same words") for i in range(40)], [(1, ""), (2, None)], []):
+        for width in (2, 4):
+            made = token_store.train_dictionary(frame(docs), JSON, width, 2)
+            assert 0 < len(made) <= token_store.DICT_BYTES
+            ids = np.array([*JSON.encoders()[0](docs[0][1] or "" if docs else ""), 2], "<u4").tobytes()
+            data = token_store.file_bytes(np.array([4]), [ids], made, width)
+            assert token_store.TokenFile(lambda a, n, data=data: data[a : a + n], made).document(4)[0].tobytes() == ids
+
+
+def test_runs_of_documents():
+    rng = np.random.default_rng(4)
+    offsets = np.concatenate([[0], np.cumsum(rng.integers(1, 400, 300))])
+    for most, size in ((500, 1 << 20), (7, 1000), (500, 1), (1, 1 << 20)):
+        got = list(token_store.runs(offsets, most, size))
+        assert [x for a, b in got for x in range(a, b)] == list(range(300))
+        assert all(b - a <= most and (b == a + 1 or offsets[b] - offsets[a] <= size) for a, b in got)
+    assert list(token_store.runs(np.array([0]))) == []
+
+
 def test_a_shared_dictionary_is_trained_and_used(spark, frame, tmp_path):
     rng = random.Random(2)
     docs = [(i, " ".join(f"w{rng.randint(0, 900)}" for _ in range(700))) for i in range(60)]
@@ -148,7 +195,7 @@ def test_the_dictionary_is_trained_on_any_documents_and_any_part_of_them(frame,
     docs = [(i, " ".join(f"{'early' if i < 100 else 'late'}{w}{rng.randint(0, 900)}" for w in ("start",) * 1500 + ("end",) * 1500)) for i in range(200)]
     seen = []
     monkeypatch.setattr(token_store.zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or token_store.zstandard.ZstdCompressionDict(b"d"))
-    token_store.train_dictionary(frame(docs, 4), JSON, docs=60)
+    token_store.train_dictionary(frame(docs, 4), JSON, 2, 2, docs=60)
     decode = bpe.decoder(RANKS.path)
     texts = [decode(np.frombuffer(s, "<u2").astype("<u4").tobytes()) for s in seen]
     assert len(texts) == 60 and all(len(s) <= 2 * token_store.DICT_IDS for s in seen)
