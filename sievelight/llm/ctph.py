@@ -23,7 +23,7 @@ LEAST_BLOCK = 3
 #: Characters of a signature at most; a block size is chosen so that at least half as many are likely.
 LENGTH = 64
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Signatures that share no run of so many characters are unlike.
+#: Signatures that share no run of so many characters are unlike, if both are as long.
 COMMON = 7
 _PART = 1 << 20
 
@@ -94,12 +94,14 @@ def common_length(a: str, b: str) -> int:
 
 
 def _likeness(a: str, b: str) -> float:
-    """1 less the edit distance (a change counts as two edits) over both lengths; 0 without a common run."""
+    """1 less the edit distance (a change counts as two edits) over both lengths; 0 without a common run, except for short signatures."""
     a, b = _squeezed(a), _squeezed(b)
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
+    if min(len(a), len(b)) < COMMON:
+        return 2 * common_length(a, b) / (len(a) + len(b))
     runs = {a[i : i + COMMON] for i in range(len(a) - COMMON + 1)}
     if not any(b[i : i + COMMON] in runs for i in range(len(b) - COMMON + 1)):
         return 0.0

@@ -38,6 +38,13 @@ def test_fingerprint_changes_little_with_an_edit():
     assert ctph.fingerprint("") == "3::" and ctph.likeness("3::", "3::") == 1 and ctph.likeness("3::", f) == 0
 
 
+def test_short_signatures_are_compared_by_edits():
+    assert ctph._likeness("ABCDE", "ABXDE") == 0.8 and ctph._likeness("ABC", "ABCDEFGH") == 6 / 11 and ctph._likeness("ABC", "XYZ") == 0
+    assert ctph._likeness("ABCDEFGH", "ABCXEFGH") == 0  # long enough, and no run of seven
+    a, b = "one two", "one two three"
+    assert 0 < ctph.likeness(ctph.fingerprint(a), ctph.fingerprint(b)) < 1
+
+
 def test_rolling_hash_over_parts_and_as_a_whole(monkeypatch):
     data = bytes(random.Random(3).randrange(256) for _ in range(5000))
     whole = ctph.triggers(data)
