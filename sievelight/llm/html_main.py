@@ -1,8 +1,9 @@
 """Main text of web pages from flat text blocks.
 
-A page is cut into flat blocks at block-level tags.  Each block has its word count and link density, those of the blocks
-before and after it, and what its tags say of where it stands; a decision tree, trained on the labelled pages of
-`labelled_pages`, keeps it or not.  Kept blocks are joined in page order.
+A page is cut into flat blocks at block-level tags.  What the page itself declares to be a menu, header, footer, sidebar, form,
+notice, advert or comment, by its element or by the names that its elements bear, is cut out like scripts.  Every other block has its word
+count and link density, those of the blocks before and after it, and those of the blocks that share its parent; a decision
+tree, trained on the labelled pages of `labelled_pages`, keeps it or not by these measures alone.  Kept blocks are joined in page order.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from . import blocks
 
 # Names of HTML elements and words that sites use in class and id.
-BLOCK_TAGS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW_TAGS = frozenset("script style title textarea noscript template svg iframe select button object xmp noembed noframes".split())
-CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html li main menu nav ol section span table td tr ul p".split())
+BLOCK_TAGS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav noscript ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+RAW_TAGS = frozenset("script style title textarea template svg iframe select button object xmp noembed noframes".split())
+CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html li main menu nav noscript ol section span table td tr ul p".split())
+#: Elements whose blocks count as standing together; those of the others stand with their parent's.
+PARENTS = frozenset("article aside body details dialog div fieldset footer form header html main nav noscript section td".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -39,15 +42,31 @@ _WORDS = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+#: A form that holds so much of a page's plain words is the page's frame and declares nothing.
+FRAME = 0.75
+
+
+@dataclass
+class Element:
+    """An open element: its number, tag, and whether it declares boilerplate, or the main text."""
+
+    number: int
+    tag: str
+    boiler: bool
+    main: bool
+
+
 @dataclass
 class Block:
+    """A flat block with the numbers of the elements it stands in (outermost first) and of those that are parents."""
+
     text: str
     words: int
     linked: int
-    boiler: int
-    main: int
     heading: int
     label: int
+    within: list[Element]
+    parents: list[int]
 
 
 def _hints(attributes: str) -> tuple[bool, bool]:
@@ -62,18 +81,15 @@ def flat_blocks(page: str) -> list[Block]:
     """The page's text blocks in order; raw elements, comments and markup are left out, references decoded."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
-    links, heading, label, at = 0, 0, 0, 0
+    stack: list[Element] = []
+    links, heading, label, at, number = 0, 0, 0, 0, 0
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
                 linked = sum(len(html.unescape(p).split()) for p, in_link in parts if in_link)
-                inside = [i for i, s in enumerate(stack) if s[2]]
-                # What stands within the main text counts as boilerplate by a nearer mark only.
-                boiler = [i for i, s in enumerate(stack) if s[1]]
-                out.append(Block(text, n := len(text.split()), min(linked, n), int(bool(boiler)), int(bool(inside) and (not boiler or inside[-1] > boiler[-1])), heading, label))
+                out.append(Block(text, n := len(text.split()), min(linked, n), heading, label, list(stack), [e.number for e in stack if e.tag in PARENTS]))
             parts.clear()
 
     while at < len(page):
@@ -107,41 +123,73 @@ def flat_blocks(page: str) -> list[Block]:
             links = 0 if name not in ("br", "hr") else links
         if name in CONTAINERS:
             if closing:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == name), -1)
                 if k >= 0:
                     del stack[k:]
             elif not tag[3].endswith("/") or name not in VOID_TAGS:
                 bad, good = _hints(tag[3]) if tag[3] else (False, False)
-                within = any(s[2] for s in stack)
                 if name == "p":
-                    k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] != "span"), -1)
-                    if k >= 0 and stack[k][0] == "p":
+                    k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag != "span"), -1)
+                    if k >= 0 and stack[k].tag == "p":
                         del stack[k:]
                 structural = name not in ("html", "body")
-                stack.append((name, structural and (bad or name in BOILER_TAGS or (name == "header" and not within)), structural and not bad and (good or name in MAIN_TAGS)))
+                header = name == "header" and not any(e.main for e in stack)
+                number += 1
+                stack.append(Element(number, name, structural and (bad or header or name in BOILER_TAGS), structural and not bad and (good or name in MAIN_TAGS)))
     close()
     return out
 
 
-FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "boilerplate_mark", "main_mark", "heading", "page_has_main")
+def undeclared(found: list[Block]) -> list[Block]:
+    """The blocks that the page doesn't declare to be boilerplate: the nearest mark counts."""
+    plain = sum(b.words - b.linked for b in found)
+    held: dict[int, int] = {}
+    for b in found:
+        for e in b.within:
+            if e.tag == "form":
+                held[e.number] = held.get(e.number, 0) + b.words - b.linked
+
+    def declared(b: Block) -> bool:
+        marks = [e for e in b.within if e.main or e.boiler and held.get(e.number, 0) < FRAME * plain] if any(e.boiler for e in b.within) else []
+        return bool(marks) and not marks[-1].main
+
+    return [b for b in found if not declared(b)]
+
+
+FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "heading", "parent_share", "parent_density", "parent_words", "alone")
 
 
 def features(found: list[Block]) -> np.ndarray:
+    """A row for each block; a parent that holds one block alone is passed over for its own parent."""
     n = len(found)
     x = np.zeros((n, len(FEATURES)))
-    if n:
-        x[:, 0] = [b.words for b in found]
-        x[:, 1] = [b.linked / b.words for b in found]
-        x[1:, 2:4] = x[:-1, 0:2]
-        x[:-1, 4:6] = x[1:, 0:2]
-        x[:, 6] = [b.boiler for b in found]
-        x[:, 7] = [b.main for b in found]
-        x[:, 8] = [b.heading for b in found]
-        x[:, 9] = x[:, 7].max()
+    if not n:
+        return x
+    alone: dict[int, int] = {}
+    for b in found:
+        if b.parents:
+            alone[b.parents[-1]] = alone.get(b.parents[-1], 0) + 1
+    own = []
+    for i, b in enumerate(found):
+        k = len(b.parents) - 1
+        while k > 0 and alone[b.parents[-1]] == 1 and alone.get(b.parents[k], 0) <= 1:
+            k, x[i, 10] = k - 1, 1
+        own.append(b.parents[k] if k >= 0 else 0)
+    parent = np.unique(np.array(own), return_inverse=True)[1]
+    words, linked = np.array([b.words for b in found], float), np.array([b.linked for b in found], float)
+    all_words, all_linked = np.bincount(parent, words)[parent], np.bincount(parent, linked)[parent]
+    x[:, 0] = words
+    x[:, 1] = linked / words
+    x[1:, 2:4] = x[:-1, 0:2]
+    x[:-1, 4:6] = x[1:, 0:2]
+    x[:, 6] = [b.heading for b in found]
+    x[:, 7] = (all_words - all_linked) / max(1.0, words.sum() - linked.sum())
+    x[:, 8] = all_linked / all_words
+    x[:, 9] = all_words
     return x
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 8) -> tuple:
     """A binary decision tree by Gini impurity: (feature, threshold, left, right), or a leaf's share of 1."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return (float(y.mean()),)
@@ -174,12 +222,12 @@ def leaves(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 def train(pages: list[str]) -> tuple:
     """A tree from pages whose main blocks carry a data-label attribute."""
-    got = [flat_blocks(p) for p in pages]
+    got = [undeclared(flat_blocks(p)) for p in pages]
     return grow(np.concatenate([features(g) for g in got]), np.array([b.label for g in got for b in g], float))
 
 
 def main_text(tree: tuple, page: str | None) -> str:
-    found = flat_blocks(page or "")
+    found = undeclared(flat_blocks(page or ""))
     keep = leaves(tree, features(found)) >= 0.5 if found else []
     return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
 

@@ -1,32 +1,99 @@
-"""Small labelled table for main-text extraction: pages whose main blocks carry data-label."""
+"""Small labelled table for main-text extraction: pages whose main blocks carry data-label.
+
+The pages follow a few layouts that were labelled by hand, each with parts of several lengths: menus, site names, teasers, articles (in one
+element, in sections, in bare or nested divs, in table cells), link-heavy paragraphs, lists, link lists, notes of readers and imprints.
+No element has a class or an id, and none is a nav, aside, header, footer or form, so only the blocks' own measures tell them apart.
+"""
+
+from __future__ import annotations
+
+import random
 
 _WORDS = "the river town has kept its old mill since the last flood and visitors still ask about water wheels every summer while bakers nearby use flour from it for bread that is sold on market days along with honey and cheese".split()
 
 
-def _s(n: int, k: int = 0) -> str:
-    return " ".join(_WORDS[(k + i) % len(_WORDS)] for i in range(n)).capitalize() + "."
+class _Page:
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+
+    def words(self, n: int) -> str:
+        at = self.rng.randrange(len(_WORDS))
+        return " ".join(_WORDS[(at + i) % len(_WORDS)] for i in range(n)).capitalize()
+
+    def one(self, *options):
+        return options[self.rng.randrange(len(options))]
+
+    def size(self) -> int:
+        """Words of a paragraph: mostly long, often short, sometimes a word or two."""
+        return self.one(1, 2, self.rng.randint(3, 9), self.rng.randint(10, 30), self.rng.randint(30, 140), self.rng.randint(30, 140))
+
+    def linked(self, n: int, share: float) -> str:
+        """n words of which about a share stands in links."""
+        out, left = [], n
+        while left > 0:
+            k = min(left, self.rng.randint(1, 5))
+            out.append(f"<a href='/x'>{self.words(k)}</a>" if self.rng.random() < share else self.words(k))
+            left -= k
+        return " ".join(out)
+
+    def paragraph(self, tag: str = "p") -> str:
+        n = self.size()
+        share = self.one(0, 0, 0, 0.1, 0.3) if n > 12 else 0
+        return f"<{tag} data-label>{self.linked(n, share)}.</{tag}>"
+
+    def article(self, tag: str = "p", least: int = 1, most: int = 9) -> str:
+        out = [f"<h1 data-label>{self.words(self.rng.randint(1, 12))}</h1>"] if self.rng.random() < 0.8 else []
+        for k in range(self.rng.randint(least, most)):
+            if k and self.rng.random() < 0.12:
+                out.append(f"<h2 data-label>{self.words(self.rng.randint(1, 6))}</h2>")
+            if k and self.rng.random() < 0.1:
+                out.append("<ul>" + "".join(f"<li data-label>{self.words(self.rng.randint(1, 14))}</li>" for _ in range(self.rng.randint(2, 5))) + "</ul>")
+            out.append(self.paragraph(tag))
+        return "".join(out)
+
+    def menu(self) -> str:
+        names = [f"<a href='/{i}'>{self.words(self.rng.randint(1, 3))}</a>" for i in range(self.rng.randint(3, 8))]
+        return self.one("<ul>" + "".join(f"<li>{x}</li>" for x in names) + "</ul>", "<p>" + " | ".join(names) + "</p>", "<div>" + "".join(f"<div>{x}</div>" for x in names) + "</div>")
+
+    def teaser(self) -> str:
+        return f"<div>{self.words(self.rng.randint(2, 18))}.</div>"
+
+    def related(self) -> str:
+        return f"<div><h3>{self.words(self.rng.randint(1, 2))}</h3>" + "".join(f"<p><a href='/r'>{self.words(self.rng.randint(4, 12))}</a></p>" for _ in range(self.rng.randint(2, 6))) + "</div>"
+
+    def readers(self) -> str:
+        return f"<div><h3>{self.rng.randint(2, 9)} comments</h3>" + "".join(f"<div><p><a href='/u'>{self.words(1)}</a></p><p>{self.words(self.rng.randint(3, 30))}.</p></div>" for _ in range(self.rng.randint(2, 4))) + "</div>"
 
+    def imprint(self) -> str:
+        return f"<div>&copy; {self.linked(self.rng.randint(2, 14), 0.3)}</div>"
 
-def _p(*counts: int) -> str:
-    return "".join(f"<p data-label>{_s(n, 3 * n + i)}</p>" for i, n in enumerate(counts))
+    def main(self) -> str:
+        kind = self.rng.randrange(7)
+        if kind == 0:
+            return f"<article>{self.article()}</article>"
+        if kind == 1:
+            return f"<div>{self.article()}</div>"
+        if kind == 2:
+            return self.article()
+        if kind == 3:
+            return "<div>" + "".join(f"<section>{self.article(least=2, most=4)}</section>" for _ in range(self.rng.randint(2, 4))) + "</div>"
+        if kind == 4:
+            return f"<div>{self.article('div', 3)}</div>"
+        if kind == 5:
+            return f"<table><tr><td>{self.menu()}</td><td>{self.article(least=2)}</td></tr></table>"
+        return f"<div><div>{self.article(least=2)}</div></div>"
 
+    def html(self) -> str:
+        if self.rng.random() < 0.4:  # a page that is nothing but its text, as pages that declare all else are
+            return f"<body><article>{self.article(most=self.one(2, 12))}</article></body>"
+        some = lambda f, share: f() if self.rng.random() < share else ""
+        before = [some(self.teaser, 0.3), some(self.menu, 0.8), some(self.teaser, 0.5)]
+        after = [some(self.related, 0.5), some(self.readers, 0.35), some(self.menu, 0.2), some(self.imprint, 0.8)]
+        return f"<body>{''.join(before)}{self.main()}{''.join(after)}</body>"
 
-def _menu(*names: str) -> str:
-    return "<ul>" + "".join(f'<li><a href="/{x}">{x}</a></li>' for x in names) + "</ul>"
 
+def pages(n: int = 240, first: int = 0) -> list[str]:
+    return [_Page(k).html() for k in range(first, first + n)]
 
-_NAV = f"<nav>{_menu('Home', 'News', 'Sport', 'About us', 'Contact')}</nav>"
 
-PAGES = [
-    f"<html><head><title>Mill</title></head><body>{_NAV}<div class='ad'>{_s(8)}</div><article><h1 data-label>The old mill</h1>{_p(40, 60, 12, 3, 80)}</article><footer>&copy; Site {_s(6)}</footer></body></html>",
-    f"<body><header><h1>Daily Site</h1><p>{_s(5)}</p></header>{_NAV}<main><h1 data-label>Flood {_s(4)}</h1>{_p(25, 90, 7)}<div class='advert'><p>{_s(14)}</p></div>{_p(50, 30)}<h2 data-label>Later</h2>{_p(30, 2)}</main><aside class='sidebar'><h3>Related</h3>{_menu(_s(5), _s(6), _s(4))}<p>{_s(22)}</p></aside><footer><p>{_s(16)}</p></footer>",
-    f"<div id='top-menu'>{_menu('Start', 'Shop', 'Help')}</div><div class='cookie-notice'><p>{_s(24)}</p><a href='/ok'>Accept</a></div><div class='content'><h1 data-label>Bread</h1>{_p(45, 70, 5, 33)}</div><div id='comments'><h3>3 comments</h3><p>{_s(18)}</p><p>{_s(44)}</p><p>{_s(9)}</p></div><div class='footer'>{_s(10)} <a href='/p'>Privacy</a></div>",
-    f"<body>{_NAV}<article><header><h1 data-label>Honey</h1></header>{_p(20, 35, 64)}<ul><li data-label>{_s(6)}</li><li data-label>{_s(3)}</li><li data-label>{_s(10)}</li></ul><blockquote data-label>{_s(20)}</blockquote><p data-label>{_s(12)} <a href='/x'>{_s(3)}</a> {_s(14)}</p><section class='comments'><h2>Comments</h2><p>{_s(30)}</p><p>{_s(12)}</p></section></article><form><p>{_s(9)}</p><label>Name</label></form><footer><p>{_s(40)}</p></footer>",
-    f"<body><div>{_menu('Home', 'Archive', 'Links', 'Mail')}</div><p data-label>{_s(70)}</p><p data-label>{_s(55)}</p><p data-label>{_s(64)}</p><p data-label>{_s(48)}</p><div><a href='/a'>Imprint</a> <a href='/b'>Terms</a></div></body>",
-    f"<body><p><a href='/'>Home</a> | <a href='/n'>News</a></p><h1 data-label>Market days</h1><p data-label>{_s(44)}</p><p data-label>{_s(80)}</p><p data-label>{_s(36)}</p><p data-label>{_s(58)}</p><p><a href='/q'>Next page</a></p><p>All rights reserved</p></body>",
-    f"<body><table><tr><td>{_menu('One', 'Two', 'Three', 'Four')}</td><td data-label>{_s(90)}</td></tr></table><div>{_s(40).replace('.', '')} <a href='/z'>{_s(38)}</a></div></body>",
-    f"<body>{_NAV}<div class='notice'><p>{_s(30)}</p></div><article><h1 data-label>Cheese</h1><p data-label><b>{_s(9)}<br></p>{_p(2, 1, 120, 4)}<aside><p>{_s(35)}</p></aside>{_p(28)}<div class='ad'>{_s(11)}</div>{_p(64, 6)}<form action='/s'><p>{_s(8)}</p></form></article><div class='related'>{_menu(_s(7), _s(8))}</div><div class='banner'>{_s(12)}</div><footer>{_s(4)}</footer>",
-    f"<body><div class='header'>{_s(3)}</div><div class='article-body'><h2 data-label>Wheels</h2>{_p(6, 9, 3, 15)}</div><div class='newsletter'><p>{_s(20)}</p></div><div class='comment'>{_s(60)}</div><footer>{_s(25)}</footer></body>",
-    f"<body>{_NAV}<section id='main'><h1 data-label>{_s(8)}</h1><p data-label>{_s(1)}</p><p data-label>{_s(2)}</p>{_p(20, 10)}</section><div class='share'><a href='/t'>Share</a></div><div class='promo'>{_s(17)}</div></body>",
-    f"<body><div><a href='/'>Site</a></div><div>{_s(6)}</div><div data-label>{_s(52)}</div><div data-label>{_s(47)}</div><div data-label>{_s(95)}</div><div data-label>{_s(33)}</div><div><a href='/1'>{_s(4)}</a></div><div><a href='/2'>{_s(5)}</a></div></body>",
-]
+PAGES = pages()

@@ -14,7 +14,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelight.llm import ctph, html_main, maxscore, quality, toxicity
-from sievelight.llm.labelled_pages import PAGES
 
 from .conftest import ODD
 
@@ -128,13 +127,6 @@ def test_pruning_loses_nothing():
 # --- pages
 
 
-def test_labelled_pages_are_learnt():
-    tree = html_main.train(PAGES)
-    found = [html_main.flat_blocks(p) for p in PAGES]
-    x, y = np.concatenate([html_main.features(f) for f in found]), np.array([b.label for f in found for b in f])
-    assert ((html_main.leaves(tree, x) >= 0.5) == y).mean() > 0.97
-
-
 def test_pages(spark):
     long = " ".join(["plain words of an article"] * 9)
     page = (
