@@ -71,11 +71,41 @@ def unpack(block: bytes) -> pa.Table:
         return pa.ipc.open_stream(pa.BufferReader(raw.read())).read_all()
 
 
-def bucket_count(n_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
-    """Buckets for so many bytes.  From some hundreds of GB on they grow with the root of the input (80 MB at 100 TB), so that
-    neither their number nor their size gets out of hand."""
+def bucket_count(n_bytes: int, bucket_bytes: int = BUCKET_BYTES, growth: int = 8) -> int:
+    """Buckets for so many bytes.  From some hundreds of GB on they grow with the root of the input (by 8: 80 MB at 100 TB), so
+    that neither their number nor their size gets out of hand."""
     n = int(n_bytes or 0)
-    return max(1, -(-n // max(bucket_bytes, 8 * math.isqrt(n))))
+    return max(1, -(-n // max(bucket_bytes, growth * math.isqrt(n))))
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash() of 32-bit integers (Murmur3 with seed 42)."""
+
+    def turned(v: np.ndarray, bits: int) -> np.ndarray:
+        return (v << np.uint32(bits)) | (v >> np.uint32(32 - bits))
+
+    k = turned(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turned(k ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def even_labels(spark: SparkSession, n: int) -> np.ndarray:
+    """n integers that Spark's hash deals to the shuffle's partitions in turn, so that no task gets several buckets by chance
+    while another gets none.  Four bytes a bucket."""
+    parts = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    each, m = -(-n // parts), n + 32 * parts
+    while True:
+        to = spark_hash(np.arange(m, dtype=np.int32)).astype(np.int64) % parts
+        if np.bincount(to, minlength=parts).min() >= each:
+            break
+        m *= 2
+    order = np.argsort(to, kind="stable")
+    first = np.searchsorted(to[order], np.arange(parts))
+    at = np.arange(n)
+    return order[first[at % parts] + at // parts].astype(np.int32)
 
 
 def extent(df: DataFrame, text_col: str) -> tuple[int, int]:

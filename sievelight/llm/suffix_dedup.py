@@ -5,21 +5,25 @@ those at anchors are sorted: the anchor of a string is the place, among its firs
 least hash, so equal strings have their anchor at the same place.  What is known of a string is then an anchor's suffix, and
 some bytes before it.
 
+Buckets of documents, ranges of hashes, ranges of suffixes and parts of strings send each other messages, one shuffle a round:
+
 1. Hashes of anchors, sorted and delta-coded by each bucket of documents, meet by ranges of the hash; a bit comes back for
    each: whether other documents have it too.  Only such anchors can matter.
-2. Their suffixes, with the bytes before them, are range-partitioned by leading bytes with sampled splitters.  Within a bucket
-   equal ones are sent once.  A prefix that fills several splitters is hot: its strings are sent one by one and spread.
-   Ranges are cut at whole prefixes, and of a hot one equal strings go to one range, so no equal strings lie across a boundary.
-3. Each range sorts its suffixes by multikey quicksort on eight bytes at a time, and what lies before them likewise; longest common prefixes of
-   neighbours give classes of equal strings, and each string's least doc_id.  A bit for each string comes back.
+2. Their suffixes, with the bytes before them, are range-partitioned by their leading bytes with splitters of a sample that grows with
+   the number of ranges.  Within a bucket equal ones are sent once.
+3. Each range sorts its suffixes by multikey quicksort on eight bytes at a time, and what lies before them likewise; longest common
+   prefixes of neighbours give classes of equal strings, and each string's least doc_id.  A bit for each string goes back.
+4. Strings whose suffixes begin as a splitter does may go on across the boundary, however many ranges their prefix fills.  They meet
+   by a 128-bit hash, and a bit goes back to those that have an earlier document in another range.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +36,21 @@ from . import blocks
 WIDTH = 50
 #: Bytes that an anchor's hash covers.
 K = 26
-#: Bytes whose windows are hashed at once, and documents sampled for splitters.
+#: Bytes of a sort key: those from the anchor on, and those before it in reverse.
+KEY = WIDTH + WIDTH - K
+#: Bytes whose windows are hashed at once.
 CHUNK = 1 << 19
-SAMPLE_DOCS = 2_000
-#: Raw bytes of a bucket of documents, and so, about, of anchors that a range compares.
+#: Raw bytes of a bucket of documents, and so, about, of anchors that a range compares; buckets for each range of hashes.
 BUCKET_BYTES = 8 << 20
-SAMPLE_PER_DOC = 48
+BUCKETS_PER_RANGE = 4
+#: Sampled suffixes for each range, and the documents that they are drawn from at least.
+SAMPLE_PER_RANGE = 24
+SAMPLE_DOCS = 2_000
+#: Below so many rows a part of a multikey quicksort is sorted at once.
+SMALL = 2_048
+#: Kinds of messages.
+BITS, PLACES, SEGMENTS, MASKS, EDGES, MORE = range(6)
+MESSAGE = "to int, from int, kind int, block binary"
 
 _B = 0x9E3779B97F4A7C15
 _POW = [np.uint64(pow(_B, n, 1 << 64)) for n in range(65)]
@@ -131,22 +144,24 @@ def _decode(blob: bytes) -> np.ndarray:
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
-    """The order of rows of big-endian words: quicksort on the first word, then on the next within what it leaves equal."""
-    order = np.argsort(words[:, 0], kind="stable")
-    column = words[order, 0]
-    tied = np.concatenate([[False], column[1:] == column[:-1]]) if len(order) else np.array([], bool)
-    for k in range(1, words.shape[1]):
-        within = tied | np.concatenate([tied[1:], [False]]) if len(tied) else tied
-        at = np.flatnonzero(within)
-        if not len(at):
-            break
-        group = np.cumsum(~tied)[at]
-        column = words[order[at], k]
-        inner = np.lexsort((column, group))
-        order[at] = order[at[inner]]
-        column = column[inner]
-        # Within a group all places are adjacent, so a tie goes on where the word is equal too.
-        tied[at[1:]] &= column[1:] == column[:-1]
+    """The order of rows of big-endian words by multikey quicksort: rows are parted by a pivot of one word; the equal ones go on with
+    the next word."""
+    n, width = words.shape
+    order = np.arange(n)
+    parts = [(0, n, 0)] if width else []
+    while parts:
+        lo, hi, k = parts.pop()
+        rows = order[lo:hi]
+        if hi - lo <= SMALL or k == width - 1:
+            order[lo:hi] = rows[np.lexsort(words[rows, k:].T[::-1])]
+            continue
+        word = words[rows, k]
+        some = word[:: max(1, len(word) // 63)]
+        pivot = np.partition(some, len(some) // 2)[len(some) // 2]
+        less, equal = word < pivot, word == pivot
+        order[lo:hi] = np.concatenate([rows[less], rows[equal], rows[~(less | equal)]])
+        x, y = lo + int(less.sum()), lo + int(less.sum() + equal.sum())
+        parts += [(a, b, j) for a, b, j in ((lo, x, k), (x, y, k + 1), (y, hi, k)) if b - a > 1]
     return order
 
 
@@ -170,27 +185,30 @@ def _common(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], n])
 
 
-def earlier(segments: list[bytes], before: np.ndarray, docs: np.ndarray, width: int = WIDTH, k: int = K) -> np.ndarray:
-    """For each segment, a bit for each of its strings: whether another segment has it for a smaller doc_id.
+def earlier(segments: list[bytes], before: np.ndarray, docs: np.ndarray, edge: np.ndarray | None = None, width: int = WIDTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each segment, a bit for each of its strings: whether another segment has it for a smaller doc_id; and (segment, string)
+    of all strings of segments at an `edge`.
 
     A segment has `before` bytes before its anchor; string number o starts o bytes after its own start.
     """
     n = len(segments)
     masks = np.zeros(n, np.uint32)
-    if n < 2:
-        return masks
     buffer = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.fromiter(map(len, segments), np.int64, n)
-    anchor = np.concatenate([[0], np.cumsum(sizes)[:-1]]) + before
     after = sizes - before
-    right = _matrix(buffer, anchor, after, width, 1)
-    left = _matrix(buffer, anchor - 1, before, width - k, -1)
-    by_right, by_left = (multikey_order(m.view(">u8").astype(np.uint64)) for m in (right, left))
-    common_right, common_left = _common(right[by_right]), _common(left[by_left])
-    place_right, place_left = np.empty(n, np.int64), np.empty(n, np.int64)
-    place_right[by_right], place_left[by_left] = np.arange(n), np.arange(n)
+    at_edge: list[tuple[np.ndarray, np.ndarray]] = []
+    if n > 1:
+        anchor = np.concatenate([[0], np.cumsum(sizes)[:-1]]) + before
+        right = _matrix(buffer, anchor, after, width, 1)
+        left = _matrix(buffer, anchor - 1, before, width - k, -1)
+        by_right, by_left = (multikey_order(m.view(">u8").astype(np.uint64)) for m in (right, left))
+        common_right, common_left = _common(right[by_right]), _common(left[by_left])
+        place_right, place_left = np.empty(n, np.int64), np.empty(n, np.int64)
+        place_right[by_right], place_left[by_left] = np.arange(n), np.arange(n)
     for d in range(width - k + 1):
         has = np.flatnonzero((before >= d) & (after >= width - d))
+        if edge is not None:
+            at_edge.append(((own := has[edge[has]]), before[own] - d))
         if len(has) < 2:
             continue
         key = np.cumsum(common_right < width - d)[place_right[has]] * (n + 1) + np.cumsum(common_left < d)[place_left[has]]
@@ -200,20 +218,32 @@ def earlier(segments: list[bytes], before: np.ndarray, docs: np.ndarray, width:
         least = docs[has][order][np.flatnonzero(new)][np.cumsum(new) - 1]
         hit = has[order][least < docs[has][order]]
         masks[hit] |= np.uint32(1) << (before[hit] - d).astype(np.uint32)
-    return masks
+    found = [np.concatenate(x) for x in zip(*at_edge, strict=True)] if at_edge else [np.array([], np.int64)] * 2
+    return masks, found[0], found[1]
+
+
+def meet(strings: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """Which strings also are there with a smaller doc_id."""
+    which = np.unique(np.array(strings, f"S{len(strings[0])}") if strings else np.array([], "S1"), return_inverse=True)[1]
+    least = np.full(which.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, which, docs)
+    return least[which] < docs
 
 
 class Bucket:
     """A bucket's documents in a fixed order, with their anchors."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, id_col: str, text_col: str):
         rows = blocks.rejoined(table)
-        ids = blocks.ids_of(rows)
-        texts = rows.column("__text").cast(pa.string()).cast(pa.binary()).to_pylist()
+        ids = blocks.ids_of(rows, id_col)
+        texts = rows.column(text_col).cast(pa.string()).cast(pa.binary()).to_pylist()
         order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i] or b""))
         self.rows, self.ids = rows.take(pa.array(order, pa.int64())), ids[order]
         self.docs = [texts[i] or b"" for i in order]
-        self.anchors = Anchors(self.docs)
+
+    @cached_property
+    def anchors(self) -> Anchors:
+        return Anchors(self.docs)
 
     def hashes(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes, which of them each anchor has, and which occur under more than one doc_id here."""
@@ -224,26 +254,19 @@ class Bucket:
         np.maximum.at(hi, which, ids)
         return distinct, which, lo < hi
 
-    def shared(self, bits: int, ranges: int, replies: list[tuple[int, bytes]]) -> np.ndarray:
+    def shared(self, bits: int, ranges: int, replies: dict[int, bytes]) -> np.ndarray:
         """The anchors that other doc_ids have too."""
         distinct, which, several = self.hashes(bits)
         r = _ranges(distinct, bits, ranges)
-        for part, blob in replies:
+        for part, blob in replies.items():
             at = np.flatnonzero(r == part)
             several[at] |= np.unpackbits(np.frombuffer(blob, np.uint8), count=len(at)).astype(bool)
         return np.flatnonzero(several[which])
 
-    def segments(self, at: np.ndarray, hot: set[bytes]) -> Segments:
-        """What is known of the strings of these anchors; where the anchor's prefix is hot, string by string."""
+    def segments(self, at: np.ndarray) -> Segments:
+        """What is known of the strings of these anchors."""
         a = self.anchors
         doc, place, lo, hi = a.doc[at], a.at[at], a.lo[at], a.hi[at]
-        if hot:
-            single = np.fromiter((self.docs[d][p : p + K] in hot for d, p in zip(doc.tolist(), place.tolist(), strict=True)), bool, len(at))
-            times = np.where(single, hi - lo + 1, 1)
-            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            single, doc, place, lo, hi = (np.repeat(x, times) for x in (single, doc, place, lo, hi))
-            lo = np.where(single, lo + step, lo)
-            hi = np.where(single, lo, hi)
         before = place - lo
         docs, marks = self.docs, [bytes([i]) for i in range(WIDTH)]
         index: dict[bytes, int] = {}
@@ -265,15 +288,21 @@ class Segments:
     hi: np.ndarray
     which: np.ndarray
 
-    def routes(self, cuts: list[bytes], hot: dict[bytes, tuple[int, int]]) -> np.ndarray:
-        prefixes = [k[n : n + K] for k, n in zip(self.keys, self.before.tolist(), strict=True)]
-        out = np.searchsorted(np.array(cuts, f"S{K}"), np.array(prefixes, f"S{K}"), side="right") if cuts and prefixes else np.zeros(len(prefixes), np.int64)
-        if hot:
-            for i, prefix in enumerate(prefixes):
-                if prefix in hot:
-                    a, b = hot[prefix]
-                    out[i] = a + zlib.crc32(self.keys[i]) % (b - a + 1)
-        return out
+    def routes(self, cuts: np.ndarray) -> np.ndarray:
+        """The range of suffixes that each segment belongs to."""
+        keys = np.array([sort_key(k[:-1], n) for k, n in zip(self.keys, self.before.tolist(), strict=True)], f"S{KEY}")
+        return np.searchsorted(cuts, keys, side="right") if len(cuts) else np.zeros(len(keys), np.int64)
+
+
+def sort_key(segment: bytes, before: int) -> bytes:
+    """The bytes from the anchor on, filled up with zeros, then those before it in reverse."""
+    return segment[before : before + WIDTH].ljust(WIDTH, b"\0") + segment[:before][::-1]
+
+
+def at_edges(segments: list[bytes], before: np.ndarray, part: int, cuts: np.ndarray) -> np.ndarray:
+    """Which segments of a range begin as a splitter at its ends does."""
+    ends = {bytes(c)[:K].ljust(K, b"\0") for c in cuts[max(0, part - 1) : part + 1]}
+    return np.fromiter((s[n : n + K] in ends for s, n in zip(segments, before.tolist(), strict=True)), bool, len(segments))
 
 
 def _ranges(h: np.ndarray, bits: int, ranges: int) -> np.ndarray:
@@ -282,66 +311,73 @@ def _ranges(h: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(low)) * np.uint64(ranges) >> np.uint64(bits - low)).astype(np.int64)
 
 
-def sampled_cuts(rows: DataFrame, n_rows: int, ranges: int) -> tuple[list[bytes], dict[bytes, tuple[int, int]]]:
-    """Splitters of anchors' leading bytes from a bounded sample of documents; prefixes that fill several, with their ranges."""
+def sampled_cuts(rows: DataFrame, id_col: str, text_col: str, n_rows: int, n_bytes: int, ranges: int) -> np.ndarray:
+    """ranges - 1 splitters of sort keys, from about SAMPLE_PER_RANGE anchors for each range.
+
+    Documents are drawn by a hash of id and text, SAMPLE_DOCS or more so that they have 32 times the anchors that are wanted,
+    and anchors evenly from each.  What comes to the driver grows with the number of ranges, so with the root of a large input.
+    """
     if ranges < 2:
-        return [], {}
-    every = max(1, n_rows // SAMPLE_DOCS)
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("__text").cast("string")).limit(2 * SAMPLE_DOCS)
+        return np.array([], f"S{KEY}")
+    wanted, anchors = SAMPLE_PER_RANGE * ranges, max(1, n_bytes // 13)
+    share = min(1.0, max(32 * wanted / anchors, SAMPLE_DOCS / max(1, n_rows)))
+    every = max(1, int(share * anchors / wanted))
+    drawn = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))
+    sample = rows.filter(drawn).select(F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skip = 0
         for batch in batches:
-            docs = [t or b"" for t in pa.Table.from_batches([batch]).column("__text").cast(pa.binary()).to_pylist()]
-            a, out = Anchors(docs), []
-            for i in range(len(docs)):
-                own = a.at[a.doc == i]
-                out += [docs[i][p : p + K] for p in own[:: max(1, len(own) // SAMPLE_PER_DOC)].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["prefix"])
+            docs = [t or b"" for t in pa.Table.from_batches([batch]).column("text").cast(pa.binary()).to_pylist()]
+            a = Anchors(docs)
+            at = np.arange(skip, len(a.at), every)
+            skip = (skip - len(a.at)) % every
+            out = [sort_key(docs[d][lo : hi + WIDTH], p - lo) for d, p, lo, hi in zip(a.doc[at].tolist(), a.at[at].tolist(), a.lo[at].tolist(), a.hi[at].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["key"])
 
-    got = sorted(bytes(r[0]) for r in sample.mapInArrow(run, "prefix binary").collect())
-    if not got:
-        return [], {}
-    cuts = [got[i * len(got) // ranges] for i in range(1, ranges)]
-    hot = {c: (i, max(j for j in range(i, len(cuts)) if cuts[j] == c)) for i, c in enumerate(cuts) if cuts.count(c) > 1 and (i == 0 or cuts[i - 1] != c)} if len(set(cuts)) < len(cuts) else {}
-    return cuts, hot
+    got = np.array([bytes(r[0]) for r in sample.mapInArrow(run, "key binary").collect()], f"S{KEY}")
+    got.sort()
+    return got[[i * len(got) // ranges for i in range(1, ranges)]] if len(got) else got
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
-    """All columns of df with the kept bytes and what was removed: n_bytes, n_removed, n_spans long, kept binary.
+def _messages(to: list, sender: int, kind: int, sent: list[bytes]) -> pa.Table:
+    n = len(sent)
+    return pa.table({"to": pa.array(to, pa.int32()), "from": pa.array([sender] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "block": pa.array(sent, pa.binary())})
 
-    Null texts count as empty; a null doc_id is less than all others; rows that share a doc_id don't match each other.  A
-    document shorter than the width stays as it is.  Columns n_bytes, n_removed, n_spans, kept of df are replaced.
-    With whole_characters, bytes of a character that a cut leaves incomplete are left out of `kept`.
-    """
+
+def _said(table: pa.Table, kind: int) -> list[tuple[int, bytes]]:
+    """(sender, block) of the messages of a kind."""
+    return [(r["from"], r["block"]) for r in table.to_pylist() if r["kind"] == kind]
+
+
+def _removed(df: DataFrame, id_col: str, text_col: str, whole_characters: bool) -> DataFrame:
+    """df's columns, numbered, with n_bytes, n_removed, n_spans and kept."""
     spark = df.sparkSession
     blocks.session_limits(spark)
-    made = ["n_bytes", "n_removed", "n_spans", "kept"]
-    own = [c for c in df.columns if c not in made]
-    # The id and the text go under names of their own, the other columns are only carried along.
-    alias = {id_col: "doc_id", text_col: "__text"}
-    rows = df.select(*[F.col(f"`{c}`").alias(alias.get(c, f"c_{c}")) for c in own])
-    n_rows, n_bytes = blocks.extent(rows, "__text")
-    buckets = blocks.bucket_count(n_bytes, BUCKET_BYTES)
-    ranges = buckets
+    names = df.columns
+    rows = df.select(*blocks.numbered(names))
+    id_at, text_at = (f"c_{names.index(c)}" for c in (id_col, text_col))
+    n_rows, n_bytes = blocks.extent(rows, text_at)
+    n_buckets = blocks.bucket_count(n_bytes, BUCKET_BYTES, 16)
+    n_ranges, n_parts = -(-n_buckets // BUCKETS_PER_RANGE), n_buckets
     bits = min(60, max(32, math.ceil(math.log2(n_bytes / 13 + 2)) + 14))
-    cuts, hot = sampled_cuts(rows, n_rows, ranges)
-    hot_prefixes = set(hot)
+    cuts = sampled_cuts(rows, id_at, text_at, n_rows, n_bytes, n_parts)
+    labels = blocks.even_labels(spark, n_buckets + n_ranges + 2 * n_parts)
+    buckets, ranges, suffixes, strings = np.split(labels, np.cumsum([n_buckets, n_ranges, n_parts]))
 
     def assign(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-        ids = blocks.ids_of(table).astype(np.uint64)
+        ids = blocks.ids_of(table, id_at).astype(np.uint64)
         h = ((ids ^ (ids >> np.uint64(31))) * np.uint64(_B)) >> np.uint64(33)
-        yield from blocks.by_bucket((h % np.uint64(buckets)).astype(np.int64))
+        yield from blocks.by_bucket(buckets[(h % np.uint64(n_buckets)).astype(np.int64)])
 
     def ask(table: pa.Table) -> pa.Table:
-        b = Bucket(table)
-        h = b.hashes(bits)[0]
-        r = _ranges(h, bits, ranges)
-        edges = np.searchsorted(r, np.arange(ranges + 1))
-        parts = [i for i in range(ranges) if edges[i] < edges[i + 1]]
-        return pa.table({"range": pa.array(parts, pa.int32()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(parts), pa.int32()), "block": pa.array([_code(h[edges[i] : edges[i + 1]]) for i in parts], pa.binary())})
+        h = Bucket(table, id_at, text_at).hashes(bits)[0]
+        r = _ranges(h, bits, n_ranges)
+        edges = np.searchsorted(r, np.arange(n_ranges + 1))
+        parts = [i for i in range(n_ranges) if edges[i] < edges[i + 1]]
+        return _messages([ranges[i] for i in parts], table.column("bucket")[0].as_py(), BITS, [_code(h[edges[i] : edges[i + 1]]) for i in parts])
 
     def answer(table: pa.Table) -> pa.Table:
-        part = table.column("range")[0].as_py()
         lists = [_decode(b) for b in table.column("block").to_pylist()]
         every = np.concatenate(lists)
         every.sort()
@@ -350,47 +386,58 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_c
         for h in lists:
             at = np.searchsorted(several, h)
             bitmaps.append(np.packbits(several[np.minimum(at, len(several) - 1)] == h if len(several) else np.zeros(len(h), bool)).tobytes())
-        return pa.table({"to": table.column("bucket"), "from": pa.array([part] * len(lists), pa.int32()), "kind": pa.array([0] * len(lists), pa.int32()), "bits": pa.array(bitmaps, pa.binary())})
-
-    def replies(table: pa.Table, kind: int) -> list[tuple[int, bytes]]:
-        return [(r["from"], r["bits"]) for r in table.to_pylist() if r["kind"] == kind]
-
-    def routed(b: Bucket, said: list[tuple[int, bytes]]) -> tuple[Segments, list[tuple[int, np.ndarray]]]:
-        """The segments, and those of each range in a fixed order."""
-        found = b.segments(b.shared(bits, ranges, said), hot_prefixes)
-        return found, list(blocks.by_bucket(found.routes(cuts, hot)))
+        return _messages(table.column("from").to_pylist(), table.column("to")[0].as_py(), BITS, bitmaps)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts, out = [], []
+        out = _messages([], 0, 0, [])
         if left.num_rows:
-            found, dealt_to = routed(Bucket(left), replies(right, 0))
-            for part, at in dealt_to:
-                parts.append(part)
-                out.append(blocks.pack(pa.table({"segment": pa.array([found.keys[i][:-1] for i in at.tolist()], pa.binary()), "before": pa.array(found.before[at], pa.uint8()), "doc": pa.array(found.least[at])})))
-        return pa.table({"range": pa.array(parts, pa.int32()), "bucket": pa.array([left.column("bucket")[0].as_py()] * len(parts) if parts else [], pa.int32()), "block": pa.array(out, pa.binary())})
+            own, b = left.column("bucket")[0].as_py(), Bucket(left, id_at, text_at)
+            number = {int(x): i for i, x in enumerate(ranges)}
+            found = b.segments(b.shared(bits, n_ranges, {number[f]: x for f, x in _said(right, BITS)}))
+            route = found.routes(cuts)
+            if len(found.keys):
+                places = pa.table({"doc": pa.array(found.doc, pa.int32()), "lo": found.lo, "hi": found.hi, "which": pa.array(found.which, pa.int32())})
+                kept = pa.table({"least": pa.array(found.least), "route": pa.array(suffixes[route], pa.int32())})
+                parts = list(blocks.by_bucket(route))
+                sent = [blocks.pack(pa.table({"segment": pa.array([found.keys[i][:-1] for i in at.tolist()], pa.binary()), "before": pa.array(found.before[at], pa.uint8()), "doc": pa.array(found.least[at])})) for _, at in parts]
+                out = pa.concat_tables([_messages([own, own], own, PLACES, [blocks.pack(places), blocks.pack(kept)]), _messages([suffixes[i] for i, _ in parts], own, SEGMENTS, sent)])
+        return out
 
     def compare(table: pa.Table) -> pa.Table:
-        part = table.column("range")[0].as_py()
+        """A range's segments; messages to buckets go on as they are."""
+        if table.column("kind")[0].as_py() != SEGMENTS:
+            return table
+        label = table.column("to")[0].as_py()
+        part = int(np.flatnonzero(suffixes == label)[0])
         got = [blocks.unpack(b.as_buffer()) for b in table.column("block")]
         full = pa.concat_tables(got)
-        masks = earlier(full.column("segment").to_pylist(), full.column("before").to_numpy().astype(np.int64), full.column("doc").to_numpy())
-        edges = np.concatenate([[0], np.cumsum([g.num_rows for g in got])])
-        out = [zstandard.ZstdCompressor(level=1).compress(masks[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.table({"to": table.column("bucket"), "from": pa.array([part] * len(out), pa.int32()), "kind": pa.array([1] * len(out), pa.int32()), "bits": pa.array(out, pa.binary())})
+        segments, before, docs = full.column("segment").to_pylist(), full.column("before").to_numpy().astype(np.int64), full.column("doc").to_numpy()
+        masks, owner, string = earlier(segments, before, docs, at_edges(segments, before, part, cuts) if len(cuts) else None)
+        starts = np.concatenate([[0], np.cumsum([g.num_rows for g in got])])
+        senders = table.column("from").to_pylist()
+        out = [_messages(senders, label, MASKS, [zstandard.ZstdCompressor(level=1).compress(masks[a:b].tobytes()) for a, b in zip(starts, starts[1:], strict=False)])]
+        if len(owner):
+            keys = [hashlib.blake2b(segments[i][o : o + WIDTH], digest_size=16).digest() for i, o in zip(owner.tolist(), string.tolist(), strict=True)]
+            message = np.searchsorted(starts, owner, side="right") - 1
+            edge = pa.table({"key": pa.array(keys, pa.binary()), "doc": docs[owner], "bucket": pa.array(np.array(senders, np.int32)[message]), "route": pa.array(np.full(len(owner), label, np.int32)), "at": pa.array((owner - starts[message]).astype(np.int32)), "string": pa.array(string.astype(np.uint8))})
+            to = np.fromiter((int.from_bytes(k[:7], "little") % n_parts for k in keys), np.int64, len(keys))
+            some = [(strings[i], blocks.pack(edge.take(pa.array(at)))) for i, at in blocks.by_bucket(to)]
+            out.append(_messages([i for i, _ in some], label, EDGES, [x for _, x in some]))
+        return pa.concat_tables(out)
+
+    def across(table: pa.Table) -> pa.Table:
+        """Strings from both sides of boundaries; messages to buckets go on as they are."""
+        if table.column("kind")[0].as_py() != EDGES:
+            return table
+        edge = pa.concat_tables([blocks.unpack(b.as_buffer()) for b in table.column("block")])
+        hit = edge.filter(pa.array(meet([k + b"\1" for k in edge.column("key").to_pylist()], edge.column("doc").to_numpy())))
+        parts = list(blocks.by_bucket(hit.column("bucket").to_numpy()))
+        sent = [blocks.pack(hit.select(["route", "at", "string"]).take(pa.array(at))) for _, at in parts]
+        return _messages([i for i, _ in parts], table.column("to")[0].as_py(), MORE, sent)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Bucket(left)
-        found, dealt_to = routed(b, replies(right, 0))
-        masks = np.zeros(len(found.keys), np.uint32)
-        said = dict(replies(right, 1))
-        for part, at in dealt_to:
-            masks[at] = np.frombuffer(zstandard.ZstdDecompressor().decompress(said[part]), np.uint32)
-        mask = np.where(found.least[found.which] < b.ids[found.doc], np.uint32(0xFFFFFFFF), masks[found.which])
-        some = np.flatnonzero(mask)
-        times = (found.hi - found.lo + 1)[some]
-        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        hit = (np.repeat(mask[some], times) >> step.astype(np.uint32)) & np.uint32(1) == 1
-        place, owner = (np.repeat(found.lo[some], times) + step)[hit], np.repeat(found.doc[some], times)[hit]
+        b = Bucket(left, id_at, text_at)
+        place, owner = _hits(b, right)
         edges = np.searchsorted(owner, np.arange(len(b.docs) + 1))
         n_removed, n_spans, kept = [], [], []
         for i, doc in enumerate(b.docs):
@@ -408,18 +455,54 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_c
             kept.append(b"".join([*out, doc[end:]]) if out else doc)
         if whole_characters:
             kept = [k.decode("utf-8", "ignore").encode() if n else k for k, n in zip(kept, n_removed, strict=True)]
-        cols = {c: b.rows.column(alias.get(c, f"c_{c}")) for c in own}
-        cols |= {"n_bytes": pa.array([len(d) for d in b.docs], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())}
-        return pa.table(cols)
+        cols = {f"c_{i}": b.rows.column(f"c_{i}") for i in range(len(names))}
+        return pa.table(cols | {"n_bytes": pa.array([len(d) for d in b.docs], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
+    round_of = lambda rows, f: rows.groupBy("to").applyInArrow(blocks.releasing(f), MESSAGE)
     dealt = blocks.deal(rows, assign)
-    asked = dealt.groupBy("bucket").applyInArrow(blocks.releasing(ask), "range int, bucket int, block binary")
-    bitmaps = asked.groupBy("range").applyInArrow(blocks.releasing(answer), "to int, from int, kind int, bits binary")
-    sent = dealt.groupBy("bucket").cogroup(bitmaps.groupBy("to")).applyInArrow(blocks.releasing(send), "range int, bucket int, block binary")
-    masks = sent.groupBy("range").applyInArrow(blocks.releasing(compare), "to int, from int, kind int, bits binary")
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in own], "n_bytes long, n_removed long, n_spans long, kept binary"])
-    return dealt.groupBy("bucket").cogroup(bitmaps.unionByName(masks).groupBy("to")).applyInArrow(blocks.releasing(finish), schema)
+    bitmaps = round_of(dealt.groupBy("bucket").applyInArrow(blocks.releasing(ask), MESSAGE), answer)
+    sent = dealt.groupBy("bucket").cogroup(bitmaps.groupBy("to")).applyInArrow(blocks.releasing(send), MESSAGE)
+    masks = round_of(round_of(sent, compare), across)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    return dealt.groupBy("bucket").cogroup(masks.groupBy("to")).applyInArrow(blocks.releasing(finish), ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept binary"]))
+
+
+def _hits(b: Bucket, messages: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where strings of a bucket's documents start that an earlier document has, and whose they are, in order."""
+    held = [blocks.unpack(x) for _, x in _said(messages, PLACES)]
+    if not held:
+        return np.array([], np.int64), np.array([], np.int64)
+    if "least" in held[0].column_names:
+        held.reverse()
+    (doc, lo, hi, which), (least, route) = ([c.to_numpy() for c in t.columns] for t in held)
+    masks = np.zeros(len(least), np.uint32)
+    order = np.argsort(route, kind="stable")
+    first = {int(r): int(i) for r, i in zip(*np.unique(route[order], return_index=True), strict=True)}
+    for sender, block in _said(messages, MASKS):
+        got = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint32)
+        masks[order[first[sender] : first[sender] + len(got)]] = got
+    for _, block in _said(messages, MORE):
+        more = blocks.unpack(block)
+        start = np.fromiter((first[r] for r in more.column("route").to_pylist()), np.int64, more.num_rows)
+        np.bitwise_or.at(masks, order[start + more.column("at").to_numpy()], np.uint32(1) << more.column("string").to_numpy().astype(np.uint32))
+    mask = np.where(least[which] < b.ids[doc], np.uint32(0xFFFFFFFF), masks[which])
+    some = np.flatnonzero(mask)
+    times = (hi - lo + 1)[some]
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    hit = (np.repeat(mask[some], times) >> step.astype(np.uint32)) & np.uint32(1) == 1
+    return (np.repeat(lo[some], times) + step)[hit], np.repeat(doc[some], times)[hit]
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+    """All columns of df with the kept bytes and what was removed: n_bytes, n_removed, n_spans long, kept binary.
+
+    Null texts count as empty; a null doc_id is less than all others; rows that share a doc_id don't match each other.  A
+    document shorter than the width stays as it is.  Columns n_bytes, n_removed, n_spans, kept of df are replaced.
+    With whole_characters, bytes of a character that a cut leaves incomplete are left out of `kept`.
+    """
+    made = ("n_bytes", "n_removed", "n_spans", "kept")
+    own = [F.col(f"c_{i}").alias(c) for i, c in enumerate(df.columns) if c not in made]
+    return _removed(df, id_col, text_col, whole_characters).select(*own, *made)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,10 +512,11 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the kept bytes as its texts, its columns as they are; no row goes, a text may become empty.
+    """df with the kept bytes as its texts, its other columns as they are, whatever their names; no row goes, a text may become empty.
 
     What a cut leaves of a character goes as well; a text that loses nothing stays as it is, null too.
     """
-    out = dedup(df, id_col, text_col, whole_characters=True)
-    text = F.when(F.col("n_removed") == 0, F.col(f"`{text_col}`")).otherwise(F.col("kept").cast("string"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    old = F.col(f"c_{df.columns.index(text_col)}")
+    text = F.when(F.col("n_removed") == 0, old).otherwise(F.col("kept").cast("string"))
+    out = _removed(df, id_col, text_col, whole_characters=True)
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"c_{i}").alias(c) for i, c in enumerate(df.columns)])

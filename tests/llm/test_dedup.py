@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievelight.llm import near_dup, suffix_dedup
 
@@ -47,22 +48,49 @@ def planted(seed=1, n=60):
     return [*docs, docs[0], *[(i, t) for i, t in ODD if i not in (6,)]]
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_suffix_dedup(spark, frame, monkeypatch, hot):
+@pytest.mark.parametrize("cut", ["sampled", "everywhere", "one prefix"])
+def test_suffix_dedup(spark, frame, monkeypatch, cut):
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 6_000)
+    monkeypatch.setattr(suffix_dedup, "SMALL", 8)
     docs = planted()
-    if hot:  # prefixes that fill several splitters are sent string by string
-        first = docs[3][1].encode()
-        anchors = suffix_dedup.Anchors([t.encode() for _, t in docs if t])
-        some = sorted({t.encode()[p : p + suffix_dedup.K] for (_, t), d in zip([x for x in docs if x[1]], range(99), strict=False) for p in anchors.at[anchors.doc == d][:3].tolist()})[:12]
-        assert first and some
-        monkeypatch.setattr(suffix_dedup, "sampled_cuts", lambda rows, n, ranges: (some[: ranges - 1], {p: (0, ranges - 1) for p in some}))
+    if cut != "sampled":  # splitters within the very prefixes that documents share
+        texts = [t.encode() for _, t in docs if t]
+        a = suffix_dedup.Anchors(texts)
+        keys = sorted({suffix_dedup.sort_key(texts[d][lo : hi + 50], p - lo) for d, p, lo, hi in zip(a.doc.tolist(), a.at.tolist(), a.lo.tolist(), a.hi.tolist(), strict=True)})
+        if cut == "one prefix":
+            by = {}
+            for k in keys:
+                by.setdefault(k[:26], []).append(k)
+            keys = max(by.values(), key=len)
+            assert len(keys) > 4
+        monkeypatch.setattr(suffix_dedup, "sampled_cuts", lambda *args: np.array([keys[i * len(keys) // args[-1]] for i in range(1, args[-1])], f"S{suffix_dedup.KEY}"))
     got = suffix_dedup.digests(frame(docs)).collect()
     least = np.iinfo(np.int64).min
     want = brute([(least if i is None else i, (t or "").encode()) for i, t in docs])
     assert sorted(repr(tuple(r)) for r in got) == sorted(repr((i, *w)) for (i, _), w in zip(docs, want, strict=True))
 
 
+def test_splitters_grow_with_the_ranges(frame):
+    rows = frame(planted(3, 200), 8).selectExpr("doc_id AS c_0", "text AS c_1")
+    n, size = rows.count(), sum(len((t or "").encode()) for _, t in planted(3, 200))
+    for ranges in (1, 2, 40):
+        cuts = suffix_dedup.sampled_cuts(rows, "c_0", "c_1", n, size, ranges)
+        assert len(cuts) == ranges - 1 and (cuts[1:] >= cuts[:-1]).all()
+
+
+def test_labels_spread_evenly(spark):
+    from sievelight.llm import blocks
+
+    x = np.arange(-50, 5000, 7, dtype=np.int32)
+    rows = spark.createDataFrame([(int(v),) for v in x], "v int").selectExpr("v", "hash(v) AS h").collect()
+    assert blocks.spark_hash(np.array([r.v for r in rows], np.int32)).tolist() == [r.h for r in rows]
+    for n in (1, 3, 4, 1001):
+        labels = blocks.even_labels(spark, n)
+        assert len(set(labels.tolist())) == n
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert (blocks.spark_hash(labels).astype(int) % parts == np.arange(n) % parts).all()
+
+
 def test_cleaned_texts_keep_all_columns(frame):
     text = passages(random.Random(4), 60)
     docs = [(1, text), (2, "é" * 30 + text + "ü" * 30), (3, None), (4, text)]
@@ -70,6 +98,11 @@ def test_cleaned_texts_keep_all_columns(frame):
     out = suffix_dedup.clean(df)
     assert out.columns == df.columns
     kept = {r.doc_id: r.text for r in out.collect()}
+    clash = df.withColumns({c: F.lit("own") for c in ("kept", "n_spans", "n_removed", "__text", "c_0", "to", "a.b")})
+    same = suffix_dedup.clean(clash)
+    assert same.columns == clash.columns and {r.doc_id: r.text for r in same.collect()} == kept
+    assert same.filter("kept = 'own' AND n_spans = 'own' AND `a.b` = 'own' AND c_0 = 'own'").count() == len(docs)
+    assert dict(suffix_dedup.dedup(clash).dtypes)["n_spans"] == "bigint"
     assert kept[1] == text and kept[2] == "é" * 30 + "ü" * 30 and kept[3] is None and kept[4] == ""
 
 
@@ -78,11 +111,16 @@ def test_empty_tables(frame):
     assert near_dup.classes(frame([])).count() == 0 and near_dup.distinct(frame([])).count() == 0
 
 
-def test_multikey_order():
+def test_multikey_order(monkeypatch):
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, (500, 5)).astype(np.uint64)
     order = suffix_dedup.multikey_order(words)
     assert [tuple(words[i]) for i in order] == sorted(map(tuple, words))
+    for small in (1, 7, 100):
+        monkeypatch.setattr(suffix_dedup, "SMALL", small)
+        for top in (1, 2, 1000):
+            words = rng.integers(0, top, (900, 4)).astype(np.uint64)
+            assert [tuple(words[i]) for i in suffix_dedup.multikey_order(words)] == sorted(map(tuple, words))
     assert len(suffix_dedup.multikey_order(words[:0])) == 0
 
 
