@@ -126,7 +126,9 @@ class Anchors:
 
 
 def _shorten(h: np.ndarray, bits: int) -> np.ndarray:
-    return h >> np.uint64(64 - bits)
+    """The first bits of the hashes, mixed once more: those of anchors are the least of many, so mostly small."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))) >> np.uint64(64 - bits)
 
 
 def _code(sorted_values: np.ndarray) -> bytes:
@@ -290,8 +292,15 @@ class Segments:
 
     def routes(self, cuts: np.ndarray) -> np.ndarray:
         """The range of suffixes that each segment belongs to."""
-        keys = np.array([sort_key(k[:-1], n) for k, n in zip(self.keys, self.before.tolist(), strict=True)], f"S{KEY}")
-        return np.searchsorted(cuts, keys, side="right") if len(cuts) else np.zeros(len(keys), np.int64)
+        if not len(cuts) or not self.keys:
+            return np.zeros(len(self.keys), np.int64)
+        # Most are told by their first bytes; the others, and those with zeros there, by the whole key.
+        before = self.before.tolist()
+        heads, ends = np.array([k[n : n + 8] for k, n in zip(self.keys, before, strict=True)], "S8"), cuts.astype("S8")
+        out, upto = np.searchsorted(ends, heads, side="left"), np.searchsorted(ends, heads, side="right")
+        close = np.flatnonzero(out != upto)
+        out[close] = np.searchsorted(cuts, np.array([sort_key(self.keys[i][:-1], before[i]) for i in close.tolist()], f"S{KEY}"), side="right")
+        return out
 
 
 def sort_key(segment: bytes, before: int) -> bytes:
@@ -312,7 +321,8 @@ def _ranges(h: np.ndarray, bits: int, ranges: int) -> np.ndarray:
 
 
 def sampled_cuts(rows: DataFrame, id_col: str, text_col: str, n_rows: int, n_bytes: int, ranges: int) -> np.ndarray:
-    """ranges - 1 splitters of sort keys, from about SAMPLE_PER_RANGE anchors for each range.
+    """ranges - 1 splitters of sort keys, from about SAMPLE_PER_RANGE anchors for each range; a key counts as often as it is likely
+    to be sent, which is once for a bucket at most (there are as many buckets as ranges).
 
     Documents are drawn by a hash of id and text, SAMPLE_DOCS or more so that they have 32 times the anchors that are wanted,
     and anchors evenly from each.  What comes to the driver grows with the number of ranges, so with the root of a large input.
@@ -336,8 +346,9 @@ def sampled_cuts(rows: DataFrame, id_col: str, text_col: str, n_rows: int, n_byt
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["key"])
 
     got = np.array([bytes(r[0]) for r in sample.mapInArrow(run, "key binary").collect()], f"S{KEY}")
-    got.sort()
-    return got[[i * len(got) // ranges for i in range(1, ranges)]] if len(got) else got
+    keys, times = np.unique(got, return_counts=True)
+    weight = np.cumsum(np.minimum(times * max(1.0, anchors / max(1, len(got))), ranges))
+    return keys[np.searchsorted(weight, weight[-1] * np.arange(1, ranges) / ranges)] if len(keys) else keys
 
 
 def _messages(to: list, sender: int, kind: int, sent: list[bytes]) -> pa.Table:
@@ -396,7 +407,7 @@ def _removed(df: DataFrame, id_col: str, text_col: str, whole_characters: bool)
             found = b.segments(b.shared(bits, n_ranges, {number[f]: x for f, x in _said(right, BITS)}))
             route = found.routes(cuts)
             if len(found.keys):
-                places = pa.table({"doc": pa.array(found.doc, pa.int32()), "lo": found.lo, "hi": found.hi, "which": pa.array(found.which, pa.int32())})
+                places = pa.table({"doc": pa.array(found.doc, pa.int32()), "lo": pa.array(found.lo, pa.int32()), "more": pa.array(found.hi - found.lo, pa.uint8()), "which": pa.array(found.which, pa.int32())})
                 kept = pa.table({"least": pa.array(found.least), "route": pa.array(suffixes[route], pa.int32())})
                 parts = list(blocks.by_bucket(route))
                 sent = [blocks.pack(pa.table({"segment": pa.array([found.keys[i][:-1] for i in at.tolist()], pa.binary()), "before": pa.array(found.before[at], pa.uint8()), "doc": pa.array(found.least[at])})) for _, at in parts]
@@ -474,7 +485,7 @@ def _hits(b: Bucket, messages: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return np.array([], np.int64), np.array([], np.int64)
     if "least" in held[0].column_names:
         held.reverse()
-    (doc, lo, hi, which), (least, route) = ([c.to_numpy() for c in t.columns] for t in held)
+    (doc, lo, more, which), (least, route) = ([c.to_numpy().astype(np.int64) for c in t.columns] for t in held)
     masks = np.zeros(len(least), np.uint32)
     order = np.argsort(route, kind="stable")
     first = {int(r): int(i) for r, i in zip(*np.unique(route[order], return_index=True), strict=True)}
@@ -482,12 +493,12 @@ def _hits(b: Bucket, messages: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         got = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint32)
         masks[order[first[sender] : first[sender] + len(got)]] = got
     for _, block in _said(messages, MORE):
-        more = blocks.unpack(block)
-        start = np.fromiter((first[r] for r in more.column("route").to_pylist()), np.int64, more.num_rows)
-        np.bitwise_or.at(masks, order[start + more.column("at").to_numpy()], np.uint32(1) << more.column("string").to_numpy().astype(np.uint32))
+        extra = blocks.unpack(block)
+        start = np.fromiter((first[r] for r in extra.column("route").to_pylist()), np.int64, extra.num_rows)
+        np.bitwise_or.at(masks, order[start + extra.column("at").to_numpy()], np.uint32(1) << extra.column("string").to_numpy().astype(np.uint32))
     mask = np.where(least[which] < b.ids[doc], np.uint32(0xFFFFFFFF), masks[which])
     some = np.flatnonzero(mask)
-    times = (hi - lo + 1)[some]
+    times = more[some] + 1
     step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     hit = (np.repeat(mask[some], times) >> step.astype(np.uint32)) & np.uint32(1) == 1
     return (np.repeat(lo[some], times) + step)[hit], np.repeat(doc[some], times)[hit]
