@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: An Arrow batch's rows and bytes, a row at least.
+BATCH_ROWS, BATCH_BYTES = 400, 16 << 20
 #: Raw bytes that a map task gathers before it ships blocks.
 FLUSH_BYTES = 12 << 20
 #: Raw bytes of text for each bucket; a bucket is handled by one task at a time.
@@ -28,8 +30,14 @@ BUCKET_BYTES = 12 << 20
 
 
 def session_limits(spark: SparkSession) -> None:
-    """Keep Arrow batches small: a few hundred rows, so that long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    """Keep Arrow batches small, in rows and in bytes, so that long texts can't fill a Python worker.
+
+    Spark reads these limits when a plan runs, so they stay set in the session; lower ones of the caller's are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = (spark.conf.get(key) or "").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

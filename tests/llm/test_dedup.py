@@ -208,3 +208,41 @@ def test_components_of_a_chain(spark):
     pairs = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40) if i != 20], "a binary, b binary")
     found = {r.node[0]: r.label[0] for r in near_dup.components(pairs).collect()}
     assert found == {i: 0 if i <= 20 else 21 for i in range(41)}
+
+
+def exact_classes(docs):
+    """Least doc_id by document over all pairs whose exact probability Jaccard is 0.8 or more, and how many such pairs there are."""
+    words = near_dup.WordHashes()
+    lists = {i: near_dup.shingles(t or "", words) for i, t in docs}
+    where, parent, pairs = {}, {i: i for i in lists}, 0
+    for i, (h, _) in lists.items():
+        for x in h.tolist():
+            where.setdefault(x, []).append(i)
+
+    def find(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for i, (h, _) in lists.items():
+        shared = {}
+        for x in h.tolist():
+            for j in where[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j in shared:
+            if near_dup.probability_jaccard(lists[i], lists[j]) >= 0.8:
+                pairs += 1
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: find(i) for i in lists}, pairs
+
+
+def test_recall_against_all_pairs(spark):
+    """Every link of all pairs of a whole table is found: classes are those of the exact similarities."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, pairs = exact_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
+    wrong = [i for i in want if got[i] != want[i]]
+    assert pairs > 20 and len(got) == len(want) and len(wrong) <= 0.01 * pairs

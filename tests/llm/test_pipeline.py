@@ -64,3 +64,22 @@ def test_one_row_for_each_input_row(spark, name):
     key, table = ("page_id", "pages") if name.startswith("op7") else ("doc_id", "documents")
     got = sorted(r[key] for r in queries.queries()[name](spark, SF).select(key).collect())
     assert got == sorted(r[key] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
+
+
+def test_stages_on_clashing_columns_and_on_nothing(spark):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as pipeline
+    from sievelight.llm import blocks
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ("score", "predicted", "spans", "path_posterior", "host_posterior", "__host", "kept", "n_spans", "node", "label", "class_id", "text_", "c_0", "block", "a.b")
+    clash = docs.withColumns({c: F.lit(c) for c in names})
+    for rows in (clash, docs.limit(0), docs.withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes if c != "doc_id"}).limit(5)):
+        columns = rows.columns
+        for name, stage in pipeline.STAGES[:-1]:
+            rows = blocks.settle(stage(spark, rows, SF), "stage")
+            assert rows.columns == columns, name
+        for c in set(names) & set(columns):
+            assert rows.filter(blocks.column(c) != c).isEmpty()
+        pipeline.STAGES[-1][1](spark, rows, SF).count()

@@ -214,3 +214,18 @@ def test_empty_tables(spark, frame, tmp_path):
 def test_long_texts_are_whole():
     one = RANKS.cache()
     assert bpe.encode_text(one, LONG) == one.text_ids(LONG)
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Texts of 8 MB: no Arrow batch holds more than a few of them."""
+    import pyarrow as pa
+
+    blocks.session_limits(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 400
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    got = [r.n for r in spark.range(0, 12, 1, 1).selectExpr("repeat('12345678', 1 << 20) AS text").mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 12 * (8 << 20) and max(got) <= blocks.BATCH_BYTES + (9 << 20)
