@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 from . import blocks
 
-SHARD_ROWS = 16_384
-QUERY_ROWS = 512
+#: Vectors of a shard and queries of a part, so what a task holds: every shard meets every part, and the vectors are shuffled once for each
+#: part of the queries, the queries once for each shard.
+SHARD_ROWS = 32_768
+QUERY_ROWS = 16_384
+#: Vectors of a shard at least, where there are too few shards for all tasks.
+LEAST_SHARD_ROWS = 4_096
 BLOCK = 2_048
 PROBE = 8
 
@@ -85,7 +89,8 @@ def search(df: DataFrame, is_query: Column, k: int, scale: float = 64.0, id_col:
     blocks.session_limits(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter("id IS NOT NULL AND v IS NOT NULL")
     n, wanted = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).first()
-    shards, parts = max(1, -(-n // SHARD_ROWS)), max(1, -(-wanted // QUERY_ROWS))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards, parts = max(1, -(-n // SHARD_ROWS), min(tasks, n // LEAST_SHARD_ROWS)), max(1, -(-wanted // QUERY_ROWS))
 
     def numbers(table: pa.Table) -> pa.Table:
         ok, x = quantized(table.column("v"), scale)
