@@ -31,6 +31,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def count_words(folded: Column) -> Column:
+    """How many words a folded text has."""
+    return F.regexp_count(folded, F.lit(r"[\p{L}\p{N}]+"))
+
+
+def count_word(folded: Column, word: str) -> Column:
+    """How often a folded text has a word (of letters and digits)."""
+    whole = rf"{word}(?<![\p{{L}}\p{{N}}]{word})(?![\p{{L}}\p{{N}}])"
+    return F.when(F.contains(folded, F.lit(word)), F.regexp_count(folded, F.lit(whole))).otherwise(0)
+
+
 def query_tokens(query: str) -> list[str]:
     """The same for a query held by the driver."""
     table = str.maketrans(*_accents())

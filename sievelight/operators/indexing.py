@@ -34,6 +34,9 @@ class Index:
     def indexed_columns(self) -> list[str]:
         return ["title", "content"] if self.knowledge else ["title", "content", "content_type"]
 
+    def folded(self) -> Column:
+        return T.fold(F.concat_ws(" ", *self.indexed_columns()))
+
     def words(self) -> Column:
         return T.tokens(F.concat_ws(" ", *self.indexed_columns()))
 

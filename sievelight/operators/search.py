@@ -31,6 +31,11 @@ def _best(scored: DataFrame, limit: int) -> DataFrame:
     return top.withColumn("rank", rank).select("chunk_id", "score", "rank")
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """The rows of a list that a limit has cut, held by the driver, so that what follows doesn't run the search again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def bm25(index: Index, query: str | list[str], limit: int, where: Column | None = None) -> DataFrame:
     """chunk_id, score, rank of chunks that have all the query's words; statistics are those of the whole corpus.
 
@@ -47,20 +52,30 @@ def bm25(index: Index, query: str | list[str], limit: int, where: Column | None
     names = list(times)
     if index.postings is not None:
         return _bm25_postings(index, times, limit, where)
-    counted = index.chunks.withColumn("_words", index.words())
-    counted = counted.withColumn("_dl", F.size("_words"))
-    if index.stem:
-        counted = counted.withColumn("_words", porter.stems_among(F.col("_words"), names))
-    for i, t in enumerate(names):
-        counted = counted.withColumn(f"_tf{i}", T.count_of(F.col("_words"), F.lit(t)))
-    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"_df{i}") for i in range(len(names))])
-    score = F.lit(0.0)
-    for i, t in enumerate(names):
-        score = score + times[t] * _idf(F.col("_n"), F.col(f"_df{i}")) * _gain(F.col(f"_tf{i}"), F.col("_dl"), F.col("_avgdl"))
     every = F.lit(True)
     for i in range(len(names)):
         every = every & (F.col(f"_tf{i}") > 0)
-    hits = counted if where is None else counted.filter(where)
+
+    def counted(only_hits: bool) -> DataFrame:
+        """Chunks with _dl and the counts _tf0, ..; made once a row: what Spark doesn't push through `inline` it doesn't repeat."""
+        if index.stem:
+            rows = index.chunks.withColumn("_words", index.words())
+            dl, rows = F.size("_words"), rows.withColumn("_stems", porter.stems_among(F.col("_words"), names))
+            tfs = [T.count_of(F.col("_stems"), F.lit(t)) for t in names]
+        else:  # words are looked for only where their letters are, and no array of words is made
+            rows, maybe = index.chunks.withColumn("_text", index.folded()), F.lit(True)
+            for t in names:
+                maybe = maybe & F.contains("_text", F.lit(t))
+            dl = T.count_words(F.col("_text"))
+            dl = F.when(maybe, dl) if only_hits else dl
+            tfs = [T.count_word(F.col("_text"), t) for t in names]
+        return rows.select("*", F.inline(F.array(F.struct(dl.alias("_dl"), *[tf.alias(f"_tf{i}") for i, tf in enumerate(tfs)]))))
+
+    stats = counted(False).agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"_df{i}") for i in range(len(names))])
+    score = F.lit(0.0)
+    for i, t in enumerate(names):
+        score = score + times[t] * _idf(F.col("_n"), F.col(f"_df{i}")) * _gain(F.col(f"_tf{i}"), F.col("_dl"), F.col("_avgdl"))
+    hits = counted(True) if where is None else counted(True).filter(where)
     # The statistics are one row.
     return _best(hits.filter(every).join(F.broadcast(stats)).select("chunk_id", score.alias("score")), limit)
 
@@ -87,7 +102,7 @@ def substring(index: Index, query: str, limit: int, where: Column | None = None)
     tf, dl = F.lit(0), F.lit(0)
     for c in cols:
         tf, dl = tf + T.occurrences(c, F.lit(phrase)), dl + F.greatest(F.length(c) - 2, F.lit(0))
-    counted = index.chunks.withColumn("_tf", tf).withColumn("_dl", dl)
+    counted = index.chunks.select("*", F.inline(F.array(F.struct(tf.alias("_tf"), dl.alias("_dl")))))
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avgdl"), F.count(F.when(F.col("_tf") > 0, 1)).alias("_df"))
     hits = counted if where is None else counted.filter(where)
     score = _idf(F.col("_n"), F.col("_df")) * _gain(F.col("_tf"), F.col("_dl"), F.col("_avgdl"))
@@ -143,17 +158,23 @@ def gate(layer: DataFrame, seen: DataFrame, limit: int, key: list[str] | None =
 def fuse(index: Index, layers: dict[str, tuple[DataFrame, float]], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion: chunk_id of the first layer that has a key, score, and each layer's part.
 
-    The layers are a few limits of rows, so the joins to the chunks are on a short list.
+    The layers are a few limits of rows: the driver holds them, and only their chunks are read for the keys.
     """
     ranked = None
     for i, (name, (layer, weight)) in enumerate(layers.items()):
         part = layer.select("chunk_id", F.lit(name).alias("layer"), F.lit(i).alias("place"), (F.lit(float(weight)) / (k + F.col("rank") + 1)).alias("part"))
         ranked = part if ranked is None else ranked.unionByName(part)
-    keyed = ranked.join(index.chunks.select("chunk_id", *[c for c in index.fuse_key if c != "chunk_id"]), "chunk_id")
+    ranked = held(ranked)
+    keyed = F.broadcast(ranked).join(_only(index, ranked).select("chunk_id", *[c for c in index.fuse_key if c != "chunk_id"]), "chunk_id")
     parts = [F.coalesce(F.sum(F.when(F.col("layer") == n, F.col("part"))), F.lit(0.0)).alias(n) for n in LAYERS]
     return keyed.groupBy(*index.fuse_key).agg(F.min_by("chunk_id", F.struct("place", "chunk_id")).alias("chunk"), F.sum("part").alias("score"), *parts).withColumnRenamed("chunk", "chunk_id" if not index.knowledge else "first_chunk").drop("first_chunk")
 
 
+def _only(index: Index, rows: DataFrame) -> DataFrame:
+    """The chunks of a held list: their ids are a filter that reaches the scan."""
+    return index.chunks.filter(F.col("chunk_id").isin(*{r.chunk_id for r in rows.select("chunk_id").collect()}))
+
+
 def proximity(content: Column, query: str) -> Column:
     """1.5 if the first places of all the query's words span less than 200 bytes, 1.2 below 500, else 1."""
     words = list(dict.fromkeys(query.lower().split()))
@@ -177,22 +198,18 @@ def hybrid(index: Index, query: str, settings: Settings, query_vector: list[floa
     n = limit or settings.limit
     kw = settings.keyword_weight if keyword_weight is None else keyword_weight
     vw = settings.vector_weight if vector_weight is None else vector_weight
-    layers: dict[str, tuple[DataFrame, float]] = {"bm25": (first := bm25(index, query, n, where), kw)}
-    layers["trigram"] = (gate(substring(index, query, n, where), first, n), kw)
-    fixed = corrected_query(index, query, settings)
-    if fixed is not None:
-        seen = fuse(index, layers, settings.rrf_k)
-        layers["fuzzy"] = (gate(bm25(index, fixed, n, where), seen, n), kw)
+    layers: dict[str, tuple[DataFrame, float]] = {"bm25": (held(bm25(index, query, n, where)), kw)}
+    if layers["bm25"][0].count() < n:
+        layers["trigram"] = (held(substring(index, query, n, where)), kw)
+    fused = held(fuse(index, layers, settings.rrf_k))
+    if fused.count() < n and (fixed := corrected_query(index, query, settings)) is not None:
+        layers["fuzzy"] = (held(bm25(index, fixed, n, where)), kw)
+        fused = held(fuse(index, layers, settings.rrf_k))
     if query_vector is not None:
-        seen = fuse(index, layers, settings.rrf_k).select("chunk_id")
-        if full_recall:
-            layers["vector"] = (vector(index, query_vector, n, where), vw)
-        else:
-            among = vector(index, query_vector, n, where, seen)
-            alone = gate(vector(index, query_vector, n, where), seen, 1)
-            layers["vector"] = (among.unionByName(alone), vw)
-    fused = fuse(index, layers, settings.rrf_k)
-    rows = fused.drop(*[c for c in index.fuse_key if c != "chunk_id"]).join(index.chunks, "chunk_id")
+        among = None if full_recall or fused.isEmpty() else fused
+        layers["vector"] = (held(vector(index, query_vector, n, where, among)), vw)
+        fused = held(fuse(index, layers, settings.rrf_k))
+    rows = F.broadcast(fused.drop(*[c for c in index.fuse_key if c != "chunk_id"])).join(_only(index, fused), "chunk_id")
     boost = F.lit(1.0) if index.knowledge else proximity(F.col("content"), query)
     rows = rows.withColumn("proximity", F.col("score") * (boost - 1)).withColumn("score", F.col("score") * boost)
     return rows.orderBy(F.round("score", 9).desc(), "source_id", "title", "chunk_id").limit(n)
