@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,8 @@ class Index:
     postings: DataFrame | None = None
     #: One row (n, avgdl) that belongs to the postings, if it was saved with them.
     stats: DataFrame | None = None
+    #: The postings of some terms of a kept table, which reads no others.
+    lookup: Callable[[list[str]], DataFrame] | None = None
 
     @property
     def fuse_key(self) -> list[str]:
@@ -74,6 +77,8 @@ class Index:
 
     def postings_of(self, terms: list[str]) -> DataFrame:
         """The postings of some terms: of saved ones, only from their folders."""
+        if self.lookup is not None:
+            return self.lookup(terms)
         found = self.postings.filter(F.col("term").isin(*terms))
         if self.stats is not None and "term_bucket" in self.postings.columns:
             n = self.stats.first().buckets
@@ -83,6 +88,8 @@ class Index:
     def corpus_stats(self) -> DataFrame:
         if self.stats is not None:
             return self.stats.select("n", "avgdl")
+        if "dl" in self.chunks.columns:
+            return self.chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
         return self.chunks.select(F.size(self.words()).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 

@@ -33,7 +33,7 @@ def _best(scored: DataFrame, limit: int) -> DataFrame:
 
 def held(rows: DataFrame) -> DataFrame:
     """The rows of a list that a limit has cut, held by the driver, so that what follows doesn't run the search again."""
-    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    return rows.sparkSession.createDataFrame(rows.toArrow(), rows.schema)
 
 
 def bm25(index: Index, query: str | list[str], limit: int, where: Column | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def bm25(index: Index, query: str | list[str], limit: int, where: Column | None
         return empty
     times = {t: terms.count(t) for t in dict.fromkeys(terms)}
     names = list(times)
-    if index.postings is not None:
+    if index.postings is not None or index.lookup is not None:
         return _bm25_postings(index, times, limit, where)
     every = F.lit(True)
     for i in range(len(names)):

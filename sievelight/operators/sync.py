@@ -53,6 +53,26 @@ def glob_pattern(glob: str) -> str:
     return f"^(?:{'' if '/' in glob.rstrip('/') else '(?:.*/)?'}{out})$"
 
 
+def ignored(rel_path: Column, rules: list[tuple[str, str]]) -> Column | None:
+    """Whether rules (folder, line of its .gitignore) exclude a file; the last that matches counts, and ! takes back.
+
+    A pattern with a slash before its end is matched from its folder, others at any depth below; a match of a folder holds for all in it.
+    """
+    out = None
+    for folder, line in rules:
+        back, pattern = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
+        anchored, plain = "/" in pattern.rstrip("/"), pattern.strip("/")
+        if not plain:
+            continue
+        import re
+
+        inner = glob_pattern(plain if not anchored else f"./{plain}")[1:-1].replace(re.escape("./"), "", 1)
+        below = "(/.*)" if pattern.endswith("/") else "(/.*)?"
+        hit = F.regexp_like(rel_path, F.lit(f"^{re.escape(folder + '/') if folder else ''}{inner}{below}$"))
+        out = F.when(hit, F.lit(not back)).otherwise(F.lit(False) if out is None else out)
+    return out
+
+
 def source_for_path(paths: DataFrame, sources: DataFrame) -> DataFrame:
     """(path, label): the first source by label whose path is a start of it and whose glob, if any, matches the rest.
 

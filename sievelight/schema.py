@@ -12,3 +12,4 @@ K_SOURCES = "source_id long, label string, path string, glob string, enrichments
 K_FILES = "file_id long, source_id long, rel_path string, content_hash string, size_bytes long, indexed_at timestamp, chunk_count int"
 K_CHUNKS = "chunk_id long, file_id long, source_id long, title string, content string, line_start int, line_end int, metadata string"
 LINKS = "source_file_id long, target_file_id long, link_type string, confidence double"
+POSTINGS = "term string, chunk_id long, tf long, dl int, term_bucket int"

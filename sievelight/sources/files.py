@@ -19,38 +19,69 @@ def read_folder(spark: SparkSession, path: str, glob: str | None = None, hidden:
     """Texts below a folder: path, rel_path, text, size_bytes, content_hash, indexed_at.
 
     Files that are empty, have a zero byte in their first kilobyte, or aren't UTF-8 are passed over; so are hidden ones
-    unless they are asked for.  Globs are matched at any depth; `ignore` has globs in the manner of .gitignore.
+    unless they are asked for, and what the folder's .gitignore files, or `ignore`, exclude.  Globs are matched at any depth.
     """
+    return texts_of(listed(spark, path, glob, hidden, ignore))
+
+
+def listed(spark: SparkSession, path: str, glob: str | None = None, hidden: bool = False, ignore: list[str] | None = None) -> DataFrame:
+    """The files of read_folder before their content is looked at: path, rel_path, content, size_bytes, indexed_at."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = files.select("path", "modificationTime", "length", "content").unionByName(_unlisted(spark, path))
-    base = path.rstrip("/").removeprefix("file:").rstrip("/")
-    at = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:/+(?=/)|^file:", "")
-    rel = F.substring(at, len(base) + 2, 1 << 20)
-    rows = files.select(at.alias("path"), rel.alias("rel_path"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("indexed_at"))
+    odd, rules = _unlisted(spark, path)
+    rows = _placed(files.select("path", "modificationTime", "length", "content").unionByName(odd), path)
     if not hidden:
         rows = rows.filter(~F.regexp_like("rel_path", F.lit(r"(^|/)\.")))
     if glob:
         rows = rows.filter(F.regexp_like("rel_path", F.lit(sync.glob_pattern(glob))))
-    for pattern in ignore or []:
-        plain = pattern.rstrip("/")
-        inside = sync.glob_pattern(plain)[:-1] + "(/.*)?$"
-        rows = rows.filter(~F.regexp_like("rel_path", F.lit(inside)))
-    return texts_of(rows)
+    out = sync.ignored(F.col("rel_path"), rules + [("", p) for p in ignore or []])
+    return rows if out is None else rows.filter(~out)
+
+
+def _placed(files: DataFrame, path: str) -> DataFrame:
+    base = path.rstrip("/").removeprefix("file:").rstrip("/")
+    at = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:/+(?=/)|^file:", "")
+    rel = F.substring(at, len(base) + 2, 1 << 20)
+    return files.select(at.alias("path"), rel.alias("rel_path"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("indexed_at"))
+
+
+def read_one(spark: SparkSession, path: str, rel_path: str) -> DataFrame:
+    """One file of a folder, as read_folder gives it, without a look at the others; no row if it isn't there."""
+    at = f"{path.rstrip('/')}/{rel_path}"
+    if not _exists(spark, at):
+        return spark.createDataFrame([], DOCUMENT)
+    files = spark.read.format("binaryFile").load(at) if not any(p[:1] in "._" for p in rel_path.split("/")) else _unlisted(spark, path, rel_path)[0]
+    return texts_of(_placed(files.select("path", "modificationTime", "length", "content"), path))
+
+
+def _exists(spark: SparkSession, path: str, folder: bool = False) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(where) and fs.getFileStatus(where).isDirectory() == folder
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, path, True)
 
 
-def _unlisted(spark: SparkSession, path: str) -> DataFrame:
-    """Files that Spark's listing leaves out: those whose name, or a folder's on the way, begins with a dot or an underscore.
+def _unlisted(spark: SparkSession, path: str, only: str | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Files that Spark's listing leaves out: those whose name, or a folder's on the way, begins with a dot or an underscore, and empty ones.
 
-    Their names are listed by the driver, what they hold is read by the tasks.
+    Their names are listed by the driver, what they hold is read by the tasks.  And the rules of all .gitignore files, the outermost first.
     """
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
     infos = store.get_file_info(fs.FileSelector(root, recursive=True)) if store.get_file_info(root).type == fs.FileType.Directory else []
-    odd = [x for x in infos if x.type == fs.FileType.File and any(part[:1] in "._" for part in os.path.relpath(x.path, root).split("/"))]
+    names = {os.path.relpath(x.path, root): x for x in infos if x.type == fs.FileType.File}
+    odd = [x for name, x in names.items() if (x.size == 0 or any(part[:1] in "._" for part in name.split("/"))) and only in (None, name)]
+    rules: list[tuple[str, str]] = []
+    for name in sorted((n for n in names if os.path.basename(n) == ".gitignore"), key=lambda n: (n.count("/"), n)):
+        with store.open_input_file(names[name].path) as f:
+            lines = f.read().decode("utf-8", "ignore").splitlines()
+        rules += [(os.path.dirname(name), x.rstrip()) for x in lines if x.strip() and not x.startswith("#")]
     scheme = path.split("://")[0] + "://" if "://" in path else "file://"
     rows = [(scheme + x.path, x.mtime.replace(tzinfo=None) if x.mtime else None, x.size) for x in odd]
-    names = spark.createDataFrame(rows, "path string, modificationTime timestamp, length long")
+    frame = spark.createDataFrame(rows, "path string, modificationTime timestamp, length long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,7 +91,7 @@ def _unlisted(spark: SparkSession, path: str) -> DataFrame:
                     content = pa.array([f.read()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, content], [*batch.schema.names, "content"])
 
-    return names.repartition(max(1, min(len(rows), 64))).mapInArrow(read, "path string, modificationTime timestamp, length long, content binary")
+    return frame.repartition(max(1, min(len(rows), 64))).mapInArrow(read, "path string, modificationTime timestamp, length long, content binary"), rules
 
 
 def texts_of(rows: DataFrame) -> DataFrame:

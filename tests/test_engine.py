@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sievelight.config import Settings
 from sievelight.functions.embedding import ByteSumEmbedder
 from sievelight.operators import search
+from sievelight.operators.indexing import Index
 from sievelight.plans.engine import Engine
 from sievelight.sources import files
 from sievelight.streaming import events as streaming
@@ -82,7 +83,9 @@ def test_knowledge(engine, tmp_path):
     (vault / "bin.md").write_bytes(b"\x00\x01")
     (vault / "empty.md").write_text("")
     k = engine.knowledge
-    assert k.add(str(vault), "vault", "*.md", ["frontmatter", "wikilinks", "folder_tags"]) == {"scanned": 3, "added": 3, "updated": 0, "removed": 0, "unchanged": 0}
+    with pytest.raises(ValueError):
+        k.add(str(vault / "a.md"), "file")
+    assert k.add(str(vault), "vault", "*.md", ["frontmatter", "wikilinks", "folder_tags"]) == {"scanned": 3, "added": 3, "updated": 0, "removed": 0, "unchanged": 0, "chunks": 4, "links": 3}
     assert k.link_table.read().count() == 3
     with pytest.raises(ValueError):
         k.add(str(vault), "vault")
@@ -91,12 +94,32 @@ def test_knowledge(engine, tmp_path):
     assert [r.rel_path for r in k.search("links", filter="folder:sub").collect()] == ["sub/b.md"]
     assert sorted(r.rel_path for r in k.links("a.md", "forward").collect()) == ["c.md", "sub/b.md"]
     assert k.links("a.md", depth=2, count_only=True).count() > 0
+    assert sorted(r.rel_path for r in k.links(query="task", direction="forward", source="vault").collect()) == ["c.md", "sub/b.md"]
+    a = k.chunk_table.read().filter("rel_path = 'a.md'").first()
+    assert k.related(a.chunk_id, "forward").count() == 2 and k.linked_files("a.md").count() == 2 and k.edges("vault") == 3
+    for bad in (lambda: k.related(-1), lambda: k.links(), lambda: k.links("none.md")):
+        with pytest.raises(ValueError):
+            bad()
     (vault / "c.md").write_text("# C\nnow [[a]]")
     (vault / "sub" / "b.md").unlink()
     (vault / "d.md").write_text("# D")
-    assert k.sync("vault") == {"scanned": 3, "added": 1, "updated": 1, "removed": 1, "unchanged": 1}
-    assert k.sync() == {"scanned": 3, "added": 0, "updated": 0, "removed": 0, "unchanged": 3}
+    before = dict(k.chunk_table.parts())
+    assert k.sync("vault") == {"scanned": 3, "added": 1, "updated": 1, "removed": 1, "unchanged": 1, "chunks": 4, "links": 2}
+    assert k.sync() == {"scanned": 3, "added": 0, "updated": 0, "removed": 0, "unchanged": 3, "chunks": 4, "links": 2}
     assert sorted((r.source_file_id != r.target_file_id) for r in k.link_table.read().collect()) == [True, True]
+    same = {key for key, folder in before.items() if (key, folder) in k.chunk_table.parts()}
+    assert any("a.md" in {r.rel_path for r in k.chunk_table.read([key]).collect()} for key in same)  # its shelf wasn't rewritten
+    (vault / "c.md").write_text("# C\nonce more [[a]]")
+    (vault / "d.md").write_text("# D\nnot looked at yet")
+    assert k.reindex("vault", "c.md")["updated"] == 1
+    # Postings and a scan say the same after changes: what is gone isn't counted.
+    index = k.index()
+    plain = Index(index.chunks, knowledge=True, stem=True)
+    for text in ("links", "c", "once more", "now"):
+        rows = [[(r.chunk_id, round(r.score, 9)) for r in search.bm25(i, text, 5).collect()] for i in (index, plain)]
+        assert rows[0] == rows[1]
+    (vault / "c.md").write_text("# C\nnow [[a]]")
+    assert k.sync("vault")["updated"] == 2 and k.reindex("vault", "none.md")["removed"] == 0
     assert not k.status().first().is_stale
     assert engine.auto_sync() == []
     assert engine.links("a.md", direction="forward").count() >= 1
@@ -120,6 +143,61 @@ def test_folders(spark, tmp_path):
     assert found(glob="*.rs") == ["_under.rs", "a.rs", "x/b.rs"]
     (tmp_path / "_under.rs").unlink()
     assert found(ignore=["*.log"]) == ["a.rs", "x/b.rs"] and found(ignore=["x/"]) == ["a.rs"]
+    (tmp_path / ".gitignore").write_text("# comment\n\n*.log\n/a.rs\n")
+    assert found() == ["x/b.rs"]
+    (tmp_path / "x" / ".gitignore").write_text("!c.log\nb.*\n")
+    assert found() == ["x/c.log"]
+    (tmp_path / ".gitignore").write_text("x/\n")
+    (tmp_path / "x" / ".gitignore").unlink()
+    assert found() == ["a.rs"]
+
+
+def test_folder_counts(engine, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name, data in (("a.txt", b"some words"), ("b.txt", b"more words here"), ("c.bin", b"\x00\x01"), ("e.txt", b"")):
+        (tmp_path / "d" / name).write_bytes(data)
+    assert engine.index_dir_report(str(tmp_path / "d")) == {"indexed": 2, "skipped": 2, "chunks": 2, "bytes": 25, "average_bytes": 12}
+    assert engine.index_dir_report(str(tmp_path / "d"), "*.none") == {"indexed": 0, "skipped": 0, "chunks": 0, "bytes": 0, "average_bytes": 0}
+    engine.record_call("shell", "x" * 400)
+    assert "shell (100t)" in engine.stats_report() and "- shell: 100t" in engine.status_report()
+
+
+def test_tables_survive_a_write_that_fails_anywhere(spark, tmp_path, monkeypatch):
+    from sievelight.sources.tables import Table
+
+    t = Table(spark, f"file://{tmp_path}", "t", "k string, v int", by="k")
+    rows = lambda *r: spark.createDataFrame(r, "k string, v int")
+    held = lambda: sorted(tuple(r) for r in t.read().collect())
+    assert held() == [] and t.version() is None
+    t.overwrite(rows(("a", 1), ("b", 2)))
+    for step in ("_write", "_publish"):
+        with monkeypatch.context() as m:
+            done = getattr(Table, step)
+
+            def fail(self, *args, step=step, done=done):
+                if step == "_write":
+                    done(self, *args)  # the part is there, its manifest isn't
+                raise RuntimeError("lost")
+
+            m.setattr(Table, step, fail)
+            for write in (lambda: t.append(rows(("c", 3))), lambda: t.overwrite(rows(("c", 3))), lambda: t.replace(rows(("a", 9)), ["a"])):
+                with pytest.raises(RuntimeError):
+                    write()
+        assert held() == [("a", 1), ("b", 2)]
+    (tmp_path / "t" / ".000000000099-half").write_text("garb")  # a manifest that never got its name
+    assert held() == [("a", 1), ("b", 2)]
+    assert [r.v for r in t.append(rows(("c", 3))).collect()] == [3]
+    folders = dict(t.parts())
+    t.replace(rows(("a", 7), ("a", 8)), ["a"])
+    assert held() == [("a", 7), ("a", 8), ("b", 2), ("c", 3)] and {k: f for k, f in t.parts() if k != "a"} == {k: f for k, f in folders.items() if k != "a"}
+    assert [r.v for r in t.read(["b"]).collect()] == [2]
+    t.drop(["b"])
+    for i in range(4):
+        t.append(rows(("c", 10 + i)))
+    t.compact(3)
+    assert held() == [("a", 7), ("a", 8), ("c", 3), *[("c", 10 + i) for i in range(4)]] and len([k for k, _ in t.parts() if k == "c"]) == 1
+    t.vacuum()
+    assert len(held()) == 7 and len([n for n in (tmp_path / "t").iterdir() if n.name.startswith("manifest-")]) == 1
 
 
 def test_streams(spark, tmp_path):
