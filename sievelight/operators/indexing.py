@@ -123,6 +123,16 @@ def content_characters(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("long").alias("content_chars"))
 
 
+def orphans(chunks: DataFrame, sources: DataFrame, key: str = "source_id") -> DataFrame:
+    """Chunks whose source isn't there."""
+    return chunks.join(sources.select(key), key, "left_anti")
+
+
+def chunks_of(chunks: DataFrame, label: str, limit: int) -> DataFrame:
+    """A source's first chunks in their order."""
+    return chunks.filter(F.col("label") == label).orderBy("source_id", "line_start", "chunk_id").limit(limit)
+
+
 def missing_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Chunks that have no embedding yet."""
     return chunks.join(embeddings.select("chunk_id"), "chunk_id", "left_anti")

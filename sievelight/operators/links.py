@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import held
+
 DIRECTIONS = ("forward", "backward", "both")
 
 
@@ -46,7 +48,7 @@ def related(links: DataFrame, chunks: DataFrame, file_id: int, direction: str, l
 def _hops(links: DataFrame, origin: int, direction: str, depth: int, frontier: int) -> DataFrame:
     """(from_id, file_id, direction, link_type, hop): edges that leave each hop's frontier.
 
-    A file is in one frontier at most; a hop's frontier has at most `frontier` files, the least ids.
+    A file is in one frontier at most; a hop's frontier has at most `frontier` files, the least ids, which the driver holds.
     """
     all_edges = edges(links, direction)
     here = links.sparkSession.createDataFrame([(origin,)], "file_id long")
@@ -56,7 +58,7 @@ def _hops(links: DataFrame, origin: int, direction: str, depth: int, frontier: i
         found = left if found is None else found.unionByName(left)
         fresh = left.select("file_id").distinct().join(visited, "file_id", "left_anti")
         visited = visited.unionByName(fresh)
-        here = fresh.orderBy("file_id").limit(frontier)
+        here = held(fresh.orderBy("file_id").limit(frontier))
     return found
 
 

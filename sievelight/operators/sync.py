@@ -17,6 +17,11 @@ def diff(present: DataFrame, stored: DataFrame, key: str = "rel_path") -> DataFr
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 
+def contents(rows: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(data_hash, first_id, n): each distinct content, its first row and how often it occurs."""
+    return rows.groupBy(content_hash(F.col(text_col)).alias("data_hash")).agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n"))
+
+
 def counters(changes: DataFrame) -> DataFrame:
     """Files scanned, added, updated, removed and unchanged."""
     count = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)

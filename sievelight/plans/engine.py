@@ -161,8 +161,7 @@ class Engine:
         self._credit("source_label", label, None)
         if query:
             return self.search(query, source=label, limit=max_chunks, include_knowledge=False)
-        rows = self.chunk_table.read().filter(F.col("label") == label)
-        return rows.orderBy("source_id", "line_start", "chunk_id").limit(max_chunks)
+        return indexing.chunks_of(self.chunk_table.read(), label, max_chunks)
 
     def _credit(self, by: str, value: str, path: str | None) -> None:
         latest = memory.latest_run(self.run_table.read(), self.hit_table.read(), by).filter(F.col(by) == value)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import schema
 from .config import PROFILES, Settings
 from .functions import text as T
 from .functions.embedding import ByteSumEmbedder, embed
@@ -36,6 +41,18 @@ def query(sql: str | None = None):
     return add
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a local one will do only where there is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sievelight-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        base = "file://" + base
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -128,10 +145,17 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).build_postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
-@query(f"WITH {CORPUS} SELECT count(*) AS n, CAST(sum(dl) AS BIGINT) AS words, round(avg(dl), 6) AS avgdl FROM words")
+@query(f"WITH {CORPUS} SELECT count(*) AS n, round(avg(dl), 6) AS avgdl FROM words")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = corpus(spark, sf_dir)
-    return index.chunks.select(F.size(index.words()).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words"), F.round(F.avg("dl"), 6).alias("avgdl"))
+    return corpus(spark, sf_dir).corpus_stats().select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {CORPUS}, {bm25_sql('b', TWO_WORDS)} {TOP.format('b')}")
+def saved_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save the index, load it again, and search its postings."""
+    path = shared_folder(spark, "index")
+    corpus(spark, sf_dir).save(path, 32)
+    return scored(search.bm25(Index.load(spark, path), TWO_WORDS, 15))
 
 
 @query(f"WITH {CORPUS}, {phrase_sql('p', PHRASE)} {TOP.format('p')}")
@@ -259,6 +283,37 @@ def explain_why(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", search.why(rows).alias("why"), search.why(rows, True).alias("detail"))
 
 
+WRONG = "thinng heatt"
+ALL_LAYERS = f"""WITH {CORPUS}, {bm25_sql('b', WRONG)}, {phrase_sql('p', WRONG)}, g AS (SELECT * FROM p WHERE (SELECT count(*) FROM b) < 15),
+vocab AS (SELECT DISTINCT unnest({TOKENS.format('content')}) AS term FROM chunks), q AS (SELECT unnest([0, 1]) AS pos, unnest({WRONG.split()}) AS word),
+best AS (SELECT pos, arg_min(term, (levenshtein(word, term), term)) AS term FROM q JOIN vocab ON levenshtein(word, term) <= 2 GROUP BY pos),
+t AS (SELECT max(CASE WHEN q.pos = 0 THEN coalesce(term, word) END) AS t0, max(CASE WHEN q.pos = 1 THEN coalesce(term, word) END) AS t1 FROM q LEFT JOIN best USING (pos)),
+f_tf AS (SELECT words.*, t0, t1, len(list_filter(w, lambda x: x = t0)) AS tf0, len(list_filter(w, lambda x: x = t1)) AS tf1 FROM words, t),
+f_st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE tf0 > 0) AS df0, count(*) FILTER (WHERE tf1 > 0) AS df1 FROM f_tf),
+f_sc AS (SELECT chunk_id, ({idf_sql('n', 'df0')}) * {gain_sql('tf0', 'dl', 'avgdl')} + ({idf_sql('n', 'df1')}) * {gain_sql('tf1', 'dl', 'avgdl')} AS score FROM f_tf, f_st WHERE tf0 > 0 AND tf1 > 0 AND t0 || ' ' || t1 <> '{WRONG}' AND (SELECT count(DISTINCT chunk_id) FROM (SELECT chunk_id FROM b UNION ALL SELECT chunk_id FROM g)) < 15),
+f AS (SELECT chunk_id, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM f_sc QUALIFY rank < 15),
+k AS (SELECT DISTINCT chunk_id FROM (SELECT chunk_id FROM b UNION ALL SELECT chunk_id FROM g UNION ALL SELECT chunk_id FROM f)),
+d AS (SELECT c.chunk_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])) AS s FROM chunks c JOIN embeddings v ON v.vec_id = c.chunk_id JOIN embeddings o ON o.vec_id = 0 WHERE c.chunk_id IN (SELECT chunk_id FROM k) OR (SELECT count(*) FROM k) = 0),
+v AS (SELECT chunk_id, row_number() OVER (ORDER BY round(s, 6) DESC, chunk_id) - 1 AS rank FROM d QUALIFY rank < 15),
+u AS (SELECT chunk_id, 'bm25' AS layer, 1.0 / (61 + rank) AS part FROM b UNION ALL SELECT chunk_id, 'trigram', 1.0 / (61 + rank) FROM g UNION ALL SELECT chunk_id, 'fuzzy', 1.0 / (61 + rank) FROM f UNION ALL SELECT chunk_id, 'vector', 0.8 / (61 + rank) FROM v),
+z AS (SELECT chunk_id, sum(part) AS score, coalesce(sum(part) FILTER (WHERE layer = 'fuzzy'), 0) AS fuzzy, coalesce(sum(part) FILTER (WHERE layer = 'vector'), 0) AS vector FROM u GROUP BY chunk_id)
+SELECT chunk_id, round(score, 8) AS score, round(fuzzy, 8) AS fuzzy, round(vector, 8) AS vector FROM z QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) <= 15"""
+
+
+def with_vectors(spark: SparkSession, sf_dir: str) -> tuple[Index, list[float]]:
+    """Documents with the embeddings of their ids, and a probe."""
+    rows, probe = vectors(spark, sf_dir)
+    return Index(corpus(spark, sf_dir).chunks.join(rows.chunks.select("chunk_id", "embedding"), "chunk_id", "left")), probe
+
+
+@query(ALL_LAYERS)
+def hybrid_all_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A misspelt query and a vector: corrected words are looked for, and the vector ranks what they find."""
+    index, probe = with_vectors(spark, sf_dir)
+    rows = search.hybrid(index, WRONG, Settings(limit=15, fuzzy_terms=None), probe, vector_weight=0.8)
+    return rows.select("chunk_id", *[F.round(c, 8).alias(c) for c in ("score", "fuzzy", "vector")])
+
+
 KNOW = r"""kn AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS chunk_id, conv_id, role, text FROM conversations)"""
 
 
@@ -303,11 +358,11 @@ def combined_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole query with the debug profile, over both corpora and their links."""
-    request = retrieval.Request(ONE_WORD, profile="debug", limit=10)
+    """The whole query, misspelt, with the debug profile, over both corpora and their links."""
+    request = retrieval.Request("reeed", profile="debug", limit=10, query_vector=with_vectors(spark, sf_dir)[1])
     k = knowledge(spark, sf_dir)
     near = k.chunks.select("file_id").distinct().select(F.col("file_id").alias("source_file_id"), (F.col("file_id") + 1).alias("target_file_id"), F.lit("wikilink").alias("link_type"), F.lit(1.0).alias("confidence"))
-    _, rows = retrieval.run(request, corpus(spark, sf_dir), k, near, None, Settings(limit=10, fuzzy_terms=0))
+    _, rows = retrieval.run(request, with_vectors(spark, sf_dir)[0], k, near, None, Settings(limit=10, fuzzy_terms=None))
     return rows.select("source_type", "label", "title", "file_path", F.round("score", 6).alias("score"), search.why(rows).alias("why"), "rank")
 
 
@@ -372,7 +427,11 @@ def adaptive_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(spark, sf_dir).select("doc_id", T.adaptive(F.col("text")).alias("shown"))
 
 
-@query()
+@query(
+    """WITH k AS (SELECT doc_id, text, left(text, CAST(list_max(list_filter(range(0, 1501), lambda i: strlen(left(text, CAST(i AS INTEGER))) <= 1500)) AS INTEGER)) AS s FROM documents),
+e AS (SELECT *, CASE WHEN contains(s, chr(10)) THEN left(s, CAST(length(s) - strpos(reverse(s), chr(10)) AS INTEGER)) END AS line FROM k)
+SELECT doc_id, CASE WHEN strlen(text) <= 1500 THEN text ELSE CASE WHEN line IS NOT NULL AND strlen(line) > 750 THEN line ELSE s END || chr(10) || chr(10) || '... [truncated, ' || strlen(text) || ' bytes total]' END AS preview FROM e"""
+)
 def preview_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 1500).alias("preview"))
 
@@ -465,10 +524,15 @@ def frontmatter_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(spark, sf_dir, "type:ECONOMY bad key':x :y")
 
 
-@query(f"WITH {META} SELECT p_partkey FROM m WHERE FALSE")
+@query(f"WITH {META} SELECT p_size AS size, count(*) AS n, CAST(0 AS BIGINT) AS matched FROM m GROUP BY p_size")
 def frontmatter_number_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A number in the frontmatter never equals the text of a filter."""
-    return filtered(spark, sf_dir, "size:11")
+    """A number in the frontmatter never equals the text of a filter: of all parts by size, those whose size is asked for as text."""
+    rows = annotated(spark, sf_dir).withColumn("size", F.get_json_object("metadata", "$.frontmatter.size").cast("int"))
+    sizes = [r.size for r in rows.select("size").distinct().collect()]
+    asked = F.lit(False)
+    for size in sizes:
+        asked = asked | filters.condition(filters.parse(f"size:{size}"), F.col("metadata"), F.col("label"))
+    return rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(asked, 1)).alias("matched"))
 
 
 @query(f"WITH {META} SELECT p_partkey FROM m WHERE colour = 'red'")
@@ -633,7 +697,7 @@ def source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sha256(text) AS data_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY sha256(text)")
 def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(sync.content_hash(F.col("text")).alias("data_hash")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return sync.contents(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -641,9 +705,11 @@ def anti_join_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.missing_embeddings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id")))
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@query("SELECT c_custkey AS source_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def orphan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id", "left_anti").select("doc_id")
+    """Customers as chunks whose sources are orders."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"))
+    return indexing.orphans(rows, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id")))
 
 
 @query(f"SELECT user_id AS source_id, max(ts) AS last_sync, datediff('second', max(ts), TIMESTAMP '{AS_OF}') // 60 >= 600 AS is_stale FROM events GROUP BY user_id")
@@ -768,11 +834,7 @@ def stream_dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The stream's micro-batch goes to a table of the shared folder, and the first of each content is then the least id.
     """
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     kind = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
     kept = rows.select("event_id", F.sha2("props", 256).alias("data_hash"))
@@ -802,7 +864,11 @@ def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_rows(spark, sf_dir)
     credits = memory.credit(rows, F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("created_at"))
-    return memory.learned(credits).select("normalized_query", "profile", "learned_query", "learned_source_hint", "learned_filter_hint", "success_count")
+    known = spark.createDataFrame([], schema.MEMORY)
+    # Three instalments, in the order of time.
+    for early, late in (("1900-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2999-01-01")):
+        known = memory.upsert(known, credits.filter((F.col("credited_at") >= early) & (F.col("credited_at") < late)))
+    return known.select("normalized_query", "profile", "learned_query", "learned_source_hint", "learned_filter_hint", "success_count")
 
 
 @query(f"WITH {RUNS} SELECT source_label, arg_max(run_id, (created_at, run_id)) AS run_id FROM runs GROUP BY source_label")
@@ -866,9 +932,13 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("total > 0").select("doc_id", F.col("dim").cast("long").alias("dim"), "total")
 
 
-@query()
+@query(
+    """WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), i AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS k FROM b), s AS (SELECT doc_id, k % 16 AS dim, sum(CAST('0x' || substr(h, 2 * k + 1, 2) AS INTEGER)) AS total FROM i GROUP BY doc_id, k % 16),
+n AS (SELECT *, total / sqrt(sum(total * total) OVER (PARTITION BY doc_id)) AS x FROM s) SELECT doc_id, dim, round(x, 2) AS value FROM n"""
+)
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), ByteSumEmbedder(16)).select("doc_id", "embedding")
+    rows = embed(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), ByteSumEmbedder(16))
+    return rows.select("doc_id", F.posexplode("embedding").alias("dim", "x")).filter("x > 0").select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 2).alias("value"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS length, len(embedding) AS dim FROM embeddings")
@@ -884,12 +954,12 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.fetched_pages(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT source AS label, count(*) AS chunk_count, max(doc_id) AS last_id FROM documents GROUP BY source")
+@query("SELECT doc_id AS source_id, source AS label, CAST(1 AS INTEGER) AS chunk_count, CAST(0 AS INTEGER) AS code_chunk_count FROM documents")
 def sources_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("label")).agg(F.count(F.lit(1)).alias("chunk_count"), F.max("doc_id").alias("last_id"))
+    chunks = corpus(spark, sf_dir).chunks.withColumn("is_code", F.lit(False))
+    return indexing.sources(chunks, as_of()).drop("indexed_at")
 
 
 @query("SELECT doc_id AS chunk_id, source AS label FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 10")
 def read_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus(spark, sf_dir).chunks
-    return rows.filter(F.col("label") == "src3").orderBy("chunk_id").limit(10).select("chunk_id", "label")
+    return indexing.chunks_of(corpus(spark, sf_dir).chunks, "src3", 10).select("chunk_id", "label")
