@@ -59,11 +59,18 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
 
 
+def until_the_end(spark: SparkSession, path: str) -> None:
+    """Have a folder that is there deleted when the driver's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
+    """Write to the shared folder and read again: cuts lineage and survives lost executors.  The folder goes when the driver ends."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    until_the_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

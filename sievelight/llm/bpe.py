@@ -37,6 +37,9 @@ LOOKAHEAD = 3
 #: Documents above this are spread: their chunks are rows of their own, dealt to all tasks.
 SPREAD_CHARS = 1 << 20
 
+# Fixed value: the pre-token pattern that the rules for pieces hold for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _IRREGULAR = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 _LINES = re.compile(r"\S+(?:\n\S+)+")
@@ -66,6 +69,8 @@ class Vocabulary:
     def encoders(self) -> tuple[Encoder, Encoder]:
         """Encode any text as the library does by default, and, faster, one pre-token; ranks have no special tokens."""
         if self.pattern:
+            if self.pattern != PATTERN:
+                raise ValueError("texts are cut into pieces by rules for another pre-token pattern")
             import tiktoken
 
             coder = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=read_ranks(self.path), special_tokens={})

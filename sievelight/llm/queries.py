@@ -46,6 +46,7 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = blocks.shared_dir(spark, "tokens")
     files = token_store.write(_table(spark, sf_dir, "documents"), uri, tokenizers_vocabulary(), 2, VOCABULARY)
+    blocks.until_the_end(spark, uri)
     return token_store.read(spark, uri, files)
 
 

@@ -229,3 +229,24 @@ def test_batches_are_bounded_in_bytes(spark):
 
     got = [r.n for r in spark.range(0, 12, 1, 1).selectExpr("repeat('12345678', 1 << 20) AS text").mapInArrow(sizes, "n long").collect()]
     assert sum(got) > 12 * (8 << 20) and max(got) <= blocks.BATCH_BYTES + (9 << 20)
+
+
+def test_shared_folders_go_with_the_driver(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\nfrom pyspark.sql import SparkSession\nfrom sievelight.llm import blocks\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()\n"
+        "import os\nassert blocks.settle(s.range(5), 'x').count() == 5\n"
+        f"print('held', sum(x.startswith('x-') for x in os.listdir({str(tmp_path)!r})))\ns.stop()\n"
+    )
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    assert "held 1" in said and not any(x.startswith("x-") for x in os.listdir(tmp_path))
+
+
+def test_other_patterns_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(RANKS.path, r"\w+|\W+").encoders()
