@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: An Arrow batch's rows and bytes, a row at least.
-BATCH_ROWS, BATCH_BYTES = 400, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 400, 8 << 20
 #: Raw bytes that a map task gathers before it ships blocks.
 FLUSH_BYTES = 12 << 20
 #: Raw bytes of text for each bucket; a bucket is handled by one task at a time.

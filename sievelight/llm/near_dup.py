@@ -123,6 +123,8 @@ def sketch(docs: DataFrame) -> DataFrame:
             for k, i in enumerate(some):
                 nodes[i], rows[i] = _node(found[i]), signatures[k].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "node", "signature"])
+        words.clear()
+        blocks.release()
 
     return docs.mapInArrow(run, "doc_id long, node binary, signature binary")
 
@@ -265,6 +267,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
         for batch in batches:  # rows may share an id: only the node's own text will do
             ok = [_node(shingles(t or "", words)) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_()))
+        words.clear()
+        blocks.release()
 
     texts = docs.filter("doc_id IS NOT NULL").join(wanted, "doc_id").select("node", "text").mapInArrow(same, "node binary, text string").dropDuplicates(["node"])
     texts = blocks.settle(texts, "texts")

@@ -128,6 +128,7 @@ def evidence(df: DataFrame, model: Model, host: Column, path: Column, text_col:
         for batch in batches:
             x = np.array([measures(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.logits(x), pa.float64())], [*batch.schema.names[:-1], "__logit"])
+        blocks.release()
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     return rows.mapInArrow(run, ", ".join([*kinds, "__logit double"]))

@@ -41,7 +41,7 @@ KEY = WIDTH + WIDTH - K
 #: Bytes whose windows are hashed at once.
 CHUNK = 1 << 19
 #: Raw bytes of a bucket of documents, and so, about, of anchors that a range compares; buckets for each range of hashes.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 5 << 20
 BUCKETS_PER_RANGE = 4
 #: Sampled suffixes for each range, and the documents that they are drawn from at least.
 SAMPLE_PER_RANGE = 24

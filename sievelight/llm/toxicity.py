@@ -16,7 +16,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +39,21 @@ _WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"\S+")
 
 
-@lru_cache(50_000)
-def word_features(word: str) -> tuple[str, ...]:
+def word_features(word: str) -> list[str]:
     """The word, its first 4 to 7 letters and its last 5, if it is longer."""
-    first = (f"{n}^" + word[:n] for n in (4, 5, 6, 7) if len(word) >= n)
-    return ("=" + word, *first, *(("$" + word[-5:],) if len(word) > 5 else ()))
+    found = ["=" + word]
+    found += [f"{n}^" + word[:n] for n in (4, 5, 6, 7) if len(word) >= n]
+    if len(word) > 5:
+        found.append("$" + word[-5:])
+    return found
 
 
 def token_features(token: str) -> list[str]:
     """The features of all words in a token, each once, in their order."""
-    return list(dict.fromkeys(f for word in _WORD.findall(token) for f in word_features(word)))
+    words = _WORD.findall(token)
+    if len(words) == 1:
+        return word_features(words[0])
+    return list(dict.fromkeys(f for word in words for f in word_features(word)))
 
 
 def _distinct(texts: list[str]) -> np.ndarray:
@@ -109,7 +113,8 @@ class Field:
 
     def emission(self, token: str) -> float:
         """Of the toxic state over the clean one, without the bias: the sum of the weights of the token's features."""
-        return sum(self.weights[f] for f in token_features(token) if f in self.weights)
+        weights = self.weights
+        return sum([weights[f] for f in token_features(token) if f in weights])
 
 
 class Emissions(dict):
@@ -374,6 +379,8 @@ def score(df: DataFrame, field: Field, text_col: str = "text", keep: list[str] |
                 scores.append(x)
                 found.append(spans(text or "", at, p))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))], [*batch.schema.names[:-1], "score", "predicted", "spans"])
+        cache.clear()
+        blocks.release()
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     out = rows.mapInArrow(run, ", ".join([*kinds, "score double, predicted int, spans array<struct<start: int, end: int, p: double>>"]))
@@ -390,6 +397,8 @@ def reject(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
         for batch in batches:
             ok = [describe(t or "", cache, field)[0] < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(ok, pa.bool_()))
+        cache.clear()
+        blocks.release()
 
     rows = df.select(*blocks.numbered(df.columns))
     return rows.mapInArrow(run, rows.schema).select(*blocks.named(df.columns))
