@@ -45,10 +45,12 @@ def train_dictionary(df: DataFrame, vocabulary: bpe.Vocabulary, width: int, end_
     is what they hold, as plain content; without any text it is the end id.
     """
     size = 4 * DICT_IDS
+    # Ids alone are ranked first: a rank of texts would send the driver as many texts from every task.
+    picked = [r.id for r in df.filter(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("place"), F.col(id_col).alias("id")).orderBy("place", "id").limit(docs).collect()]
     # Where in the text is another hash's matter than which documents.
     start = (1 + F.pmod(F.xxhash64(id_col, F.lit("start")), F.greatest(F.length(text_col) - size, F.lit(0)) + 1)).cast("int")
-    rows = df.filter(F.length(text_col) > 0).select(F.xxhash64(id_col).alias("place"), F.col(id_col).alias("id"), F.substring(F.col(text_col), start, F.lit(size)).alias("cut"))
-    texts = [r.cut for r in rows.orderBy("place", "id", "cut").limit(docs).collect()]
+    rows = df.filter(F.col(id_col).isin(picked) & (F.octet_length(text_col) > 0)).select(F.col(id_col).alias("id"), F.substring(F.col(text_col), start, F.lit(size)).alias("cut"))
+    texts = sorted(r.cut for r in rows.limit(2 * docs).collect())
     cache = vocabulary.cache()
     samples = []
     for text in texts:
