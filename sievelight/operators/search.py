@@ -205,7 +205,7 @@ def hybrid(index: Index, query: str, settings: Settings, query_vector: list[floa
     if fused.count() < n and (fixed := corrected_query(index, query, settings)) is not None:
         layers["fuzzy"] = (held(bm25(index, fixed, n, where)), kw)
         fused = held(fuse(index, layers, settings.rrf_k))
-    if query_vector is not None:
+    if query_vector is not None and "embedding" in index.chunks.columns:
         among = None if full_recall or fused.isEmpty() else fused
         layers["vector"] = (held(vector(index, query_vector, n, where, among)), vw)
         fused = held(fuse(index, layers, settings.rrf_k))
