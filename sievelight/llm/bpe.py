@@ -14,15 +14,17 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import itertools
 import json
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ OVERLAP_CHARS = 512
 LOOKAHEAD = 3
 #: Documents above this are spread: their chunks are rows of their own, dealt to all tasks.
 SPREAD_CHARS = 1 << 20
+#: Characters of text whose pieces are told apart at once.
+SLICE_CHARS = 4 << 20
 
 # Fixed value: the pre-token pattern that the rules for pieces hold for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,6 +49,7 @@ _CUT = re.compile(r"(?<=\S) ")
 _LINES = re.compile(r"\S+(?:\n\S+)+")
 #: ASCII marks at the end of a piece.
 _MARKS = re.compile(r"[!-/:-@\[-`{-~]+\Z")
+_MARK_CHARS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 def _byte_letters() -> dict[int, str]:
@@ -134,6 +139,31 @@ class Recent(dict):
         return Recent(self.make, self)
 
 
+class PieceTable:
+    """What `make` gives for strings, remembered in Arrow arrays: a whole array of strings is looked up at once."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int):
+        self.make, self.limit = make, limit
+        self.keys, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def of(self, strings: pa.StringArray) -> pa.LargeBinaryArray:
+        """The value of each string; the strings differ from each other."""
+        at = pc.index_in(strings, value_set=self.keys)
+        unknown = pc.is_null(at)
+        fresh = strings.filter(unknown)
+        made = pa.array(self.make(fresh.to_pylist()), pa.large_binary())
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[unknown.to_numpy(zero_copy_only=False)] = len(self.keys) + np.arange(len(fresh))
+        values = pa.concat_arrays([self.ids, made]).take(pa.array(place))
+        if len(self.keys) + len(fresh) > self.limit:
+            # Only these strings stay.
+            self.keys, self.ids, fresh, made = self.keys[:0], self.ids[:0], strings, values
+        short = pc.less_equal(pc.binary_length(fresh), 64)
+        fresh, made = fresh.filter(short)[: self.limit], made.filter(short)[: self.limit]
+        self.keys, self.ids = pa.concat_arrays([self.keys, fresh]), pa.concat_arrays([self.ids, made])
+        return values
+
+
 class PieceCache:
     """Ids of pieces as little-endian unsigned 32-bit integers, by the piece without its leading space.
 
@@ -146,6 +176,7 @@ class PieceCache:
         self.marks = Recent(lambda marks: array("I", encode(marks)).tobytes())
         self.known = Recent(self._piece)
         self.starts = Recent(self._start)
+        self.table = PieceTable(lambda pieces: list(map(self._piece, pieces)), limit)
 
     def _turn(self) -> None:
         """Between texts: what hasn't been used for long goes."""
@@ -181,6 +212,42 @@ class PieceCache:
         first, *rest = pieces(text)
         return self.starts[first] + b"".join(map(self.known.__getitem__, rest))
 
+    def _plain(self, text: str) -> bool:
+        """Whether the text is cut at every single space, and isn't too long to be cut at once."""
+        return len(text) <= SPREAD_CHARS and not _IRREGULAR.search(text) and not self.holds_added(text)
+
+    def _unlike(self, pieces: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of pieces that differ from each other, joined from those of what stands before the last marks and of these marks."""
+        bare = pc.utf8_rtrim(pieces, characters=_MARK_CHARS)
+        ends = pc.utf8_slice_codeunits(bare, -1).dictionary_encode()
+        sound = np.array([c.isalnum() for c in ends.dictionary.to_pylist()], bool)[ends.indices.to_numpy()]
+        stem = pc.if_else(pa.array(sound), bare, pieces).dictionary_encode()
+        sizes = (pc.subtract(pc.binary_length(pieces), pc.binary_length(bare)).to_numpy() * sound).astype(np.int64)
+        upto = np.cumsum(sizes)
+        offsets = np.frombuffer(pieces.buffers()[1], "<i4", len(pieces) + 1, 4 * pieces.offset)
+        at = np.repeat(offsets[1:] - upto, sizes) + np.arange(sizes.sum())
+        chars = np.frombuffer(pieces.buffers()[2], np.uint8)[at] if len(at) else np.array([], np.uint8)
+        marks = pa.StringArray.from_buffers(len(pieces), pa.py_buffer(np.concatenate([[0], upto]).astype("<i4")), pa.py_buffer(chars)).dictionary_encode()
+        tails = pa.array([self.marks[m] if m else b"" for m in marks.dictionary.to_pylist()], pa.large_binary())
+        return pc.binary_join_element_wise(self.table.of(stem.dictionary).take(stem.indices), tails.take(marks.indices), pa.scalar(b"", pa.large_binary()))
+
+    def several(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; those that are plain are cut at once, and each of their pieces is looked up once for all."""
+        self._turn()
+        plain = [self._plain(t) for t in texts]
+        cut = pc.split_pattern(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string()), " ")
+        edge, parts = cut.offsets.to_numpy(), cut.flatten()
+        first = np.zeros(len(parts), bool)
+        first[edge[:-1]] = True
+        begin = [self.starts[x] for x in parts.filter(pa.array(first)).to_pylist()]
+        rest = parts.filter(pa.array(~first)).dictionary_encode()
+        codes = np.empty(len(parts), np.int64)
+        codes[first], codes[~first] = len(rest.dictionary) + np.arange(len(begin)), rest.indices.to_numpy()
+        ids = pa.concat_arrays([self._unlike(rest.dictionary), pa.array(begin, pa.large_binary())]).take(pa.array(codes))
+        at, held = np.frombuffer(ids.buffers()[1], "<i8")[edge].tolist(), memoryview(ids.buffers()[2] or b"")
+        coded = iter([bytes(held[a:b]) for a, b in itertools.pairwise(at)])
+        return [next(coded) if p else encode_text(self, t) for t, p in zip(texts, plain, strict=True)]
+
     def chunk_ids(self, text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
         """Where each piece starts, the ids before it, and all ids."""
         self._turn()
@@ -238,6 +305,18 @@ def encode_text(cache: PieceCache, text: str | None, chunk: int = CHUNK_CHARS, o
     return stitch(cache, [(a, text[a:b], None) for a, b in chunk_spans(len(text), chunk, overlap)])
 
 
+def encode_texts(cache: PieceCache, texts: Iterable[str | None], size: int = SLICE_CHARS) -> Iterator[bytes]:
+    """What encode_text gives for each text, by slices of about `size` characters."""
+    run, held = [], 0
+    for text in texts:
+        run.append(text or "")
+        held += len(run[-1])
+        if held >= size:
+            yield from cache.several(run)
+            run, held = [], 0
+    yield from cache.several(run)
+
+
 def encode(df: DataFrame, text_col: str, vocabulary: Vocabulary, keep: list[str], ids_col: str = "ids", spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """The columns `keep` and the token ids (binary, little-endian unsigned 32-bit) of each whole text.
 

@@ -138,9 +138,8 @@ def write(df: DataFrame, uri: str, vocabulary: bpe.Vocabulary, end_id: int, voca
         docs = blocks.rejoined(table).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         doc_ids = blocks.ids_of(docs)
         order = np.argsort(doc_ids, kind="stable")
-        cache = vocabulary.cache()
         texts = docs.column("text")
-        ids = [bpe.encode_text(cache, texts[int(k)].as_py()) + end for k in order]
+        ids = [x + end for x in bpe.encode_texts(vocabulary.cache(), (texts[int(k)].as_py() for k in order))]
         data = file_bytes(doc_ids[order], ids, dictionary, width)
         name = f"tokens-{bucket:06d}.bin"
         at, folder = blocks.filesystem(uri)

@@ -37,6 +37,35 @@ def test_random_texts_encode_as_a_whole():
                 assert np.frombuffer(bpe.encode_text(one, text, chunk, overlap), "<u4").tolist() == want, repr(text)
 
 
+def test_texts_at_once_encode_as_one_by_one(whole, monkeypatch):
+    parts = ["a", "bb", " ", " ", " ", "  ", "\n", "\r\n", "\t", "don't", "'ll", "'", "é", "é,", "1", "²", "..", "wordword", "☃", "x.", ",y", "\u3000", "<|endoftext|>", "_", "Straße", "\x1c", "日本", "日本.", "x" * 90, "!" * 70]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    texts += [None, "", " ", "  ", "a ", " a", ".", " .", "a. b., \n", *(t for _, t in ODD)]
+    rng.shuffle(texts)
+    want = [whole(t or "") for t in texts]
+    for limit, size in ((400_000, bpe.SLICE_CHARS), (400_000, 500), (50, 3000), (3, 1)):
+        cache = bpe.PieceCache(*JSON.encoders(), JSON.added(), limit)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts(cache, texts, size)] == want
+        assert len(cache.table.keys) <= limit and all(len(k) <= 64 for k in cache.table.keys.to_pylist())
+    monkeypatch.setattr(bpe, "SPREAD_CHARS", 40)
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts(JSON.cache(), iter(texts))] == want
+    assert list(bpe.encode_texts(JSON.cache(), [])) == []
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow():
+    encode, one = JSON.encoders()
+    calls = []
+    cache = bpe.PieceCache(encode, lambda word: calls.append(word) or one(word), JSON.added())
+    words = ["zorp", "quandle", "éxtrème"]
+    texts = ["So " + " ".join(w + m for w in words for m in ("", ",", ".", "?!", ")")) for _ in range(50)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts(cache, texts)] == [encode(t) for t in texts]
+    assert sorted(calls) == sorted(["So", *(" " + w for w in words)])
+    assert not cache.known
+
+
 def test_strings_of_special_tokens_encode_as_the_library_does(frame):
     from tokenizers import Tokenizer
 
